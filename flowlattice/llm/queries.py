@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlattice.llm import exact_dedup, packing, quality_rules
+from flowlattice.llm import exact_dedup, packing, quality_rules, simhash_trie, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -35,6 +40,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_trie.components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -43,6 +53,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, """ + WORDS + r""" AS words FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n FROM d),
+        win AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 49], ' ')) AS seq
+                FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS pos FROM d)),
+        rep AS (SELECT doc_id, pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY seq) AS least FROM win) WHERE doc_id > least),
+        near AS (SELECT doc_id, pos, word, n, max(p) OVER (PARTITION BY doc_id ORDER BY pos) AS last_start
+                 FROM w LEFT JOIN (SELECT doc_id, pos, pos AS p FROM rep) USING (doc_id, pos)),
+        kept AS (SELECT doc_id, count(*) FILTER (last_start IS NULL OR pos > last_start + 49) AS n_kept,
+                        string_agg(word, ' ' ORDER BY pos) FILTER (last_start IS NULL OR pos > last_start + 49) AS body FROM near GROUP BY 1)
+        SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

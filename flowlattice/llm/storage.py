@@ -30,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, remembered for :func:`release`."""
+def new_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A fresh path in the shared folder, remembered for :func:`release` unless it is to last."""
     path = f"{shared_dir(spark)}/flowlattice/{label}-{uuid.uuid4().hex}"
-    _created.append(path)
+    if not lasting:
+        _created.append(path)
     return path
 
 
