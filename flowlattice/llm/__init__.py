@@ -1 +1,8 @@
 """Training-data operators.  Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get these functions by value, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

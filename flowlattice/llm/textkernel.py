@@ -22,7 +22,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C55
-_CHUNK = 1 << 16
+_CHUNK_BITS = 12
+_CHUNK = 1 << _CHUNK_BITS
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -73,7 +74,7 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     inside = np.arange(len(index), dtype=np.int64) - np.repeat(first, lengths)
     values = _BYTE[buf[index]] * _POW[inside & (_CHUNK - 1)]
     if len(inside) and int(lengths.max()) > _CHUNK:
-        values *= _POW_HIGH[(inside >> 16) & (_CHUNK - 1)]
+        values *= _POW_HIGH[(inside >> _CHUNK_BITS) & (_CHUNK - 1)]
     sums = segment_sum(values, np.append(first, len(index)))
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
