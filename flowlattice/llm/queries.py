@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlattice.llm import chat_format, exact_dedup, packing, quality_rules, simhash_trie, substring_dedup, warc
+from flowlattice.llm import chat_format, exact_dedup, langid, packing, quality_pu, quality_rules, simhash_trie, sp_codec, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sp_codec.round_trip(_table(spark, sf_dir, "documents"), seed=7, dropout=0.1)
+    return found.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = quality_pu.bucket(F.col("doc_id"), 5)
+    trusted = _table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold != 0)).select("doc_id")
+    model = quality_pu.train(docs.where(fold != 0), trusted)
+    return quality_pu.score(docs, model).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge_with_stats(_table(spark, sf_dir, "documents"))
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
@@ -46,6 +64,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = quality_pu.bucket(F.col("doc_id"), 3)
+    model = langid.train(docs.where(fold != 1))
+    return langid.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
