@@ -93,16 +93,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_mass: float = 0.5) -> float:
-    """Least ratio of unlabelled to positive mass at or above a score, where positive mass is at least ``least_mass``."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_mass: float = 0.7) -> float:
+    """Least ratio of unlabelled to positive mass at or above a score, where positive mass is at least ``least_mass``.
+
+    Half a standard error is taken off, since a prior that is too high leaves
+    negatives undecided.  The scores must come from a fit on other rows.
+    """
     cuts = np.quantile(positive, np.linspace(0, 1 - least_mass, 60))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     spread = 1.0 / np.sqrt(len(positive)) + 1.0 / np.sqrt(len(unlabelled))
-    return float(np.clip(np.min((u + 0.25 * spread) / p), 0.02, 0.98))
+    return float(np.clip(np.min(u / p) - 0.5 * spread, 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, prior: float | None = None) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, steps: int = 400, rate: float = 0.05, l2: float = 1e-3, prior: float | None = None) -> Model:
     """Non-negative PU fit with logistic loss; the prior is estimated unless given."""
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, np.concatenate([[0.001, 0.01], np.linspace(0, 1, bins + 2)[1:-1], [0.99, 0.999]]), axis=0).T
@@ -111,11 +115,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 12, steps: int
     xu = np.hstack([model.expand(unlabelled), np.ones((len(unlabelled), 1))])
 
     if prior is None:  # a plain positive-against-unlabelled fit orders the rows by density ratio
-        def ordinary(w: np.ndarray) -> np.ndarray:
-            return l2 * w + xp.T @ (_sigmoid(xp @ w) - 1) / len(xp) + xu.T @ _sigmoid(xu @ w) / len(xu)
+        sp, su = np.zeros(len(xp)), np.zeros(len(xu))
+        for half in (0, 1):  # each half is scored by a fit on the other one
+            hp, hu = xp[1 - half :: 2], xu[1 - half :: 2]
+
+            def ordinary(w: np.ndarray, hp: np.ndarray = hp, hu: np.ndarray = hu) -> np.ndarray:
+                return l2 * w + hp.T @ (_sigmoid(hp @ w) - 1) / max(1, len(hp)) + hu.T @ _sigmoid(hu @ w) / max(1, len(hu))
 
-        w = _adam(xp.shape[1], ordinary, steps // 2, rate)
-        prior = estimate_prior(xp @ w, xu @ w)
+            w = _adam(xp.shape[1], ordinary, steps // 4, rate)
+            sp[half::2], su[half::2] = xp[half::2] @ w, xu[half::2] @ w
+        prior = estimate_prior(sp, su)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         zp, zu = xp @ w, xu @ w
