@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.textkernel import TextBlock, blocks, ranges
+from flowlattice.llm.textkernel import TextBlock, blocks, ranges, span_hash
 
 CAPACITY = 2048
 GROUP_TOKENS = 4 << 20
@@ -125,11 +126,43 @@ class Packer:
             yield [self._take(n) for n in sorted(self.waiting, reverse=True) for _ in range(len(self.waiting[n]))]
 
 
+_TAIL = np.zeros(256, bool)
+_TAIL[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_CAPITAL = np.array([65 <= c <= 90 for c in range(256)])
+
+
+def runs_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, runs per word): each word lower-cased, its closing punctuation apart.
+
+    A run of ASCII punctuation after an ASCII letter or digit at the end of a word
+    is always a token boundary of the file's splitter (apostrophes stay inside).
+    A block that may hold a special token's string is left as it is.
+    """
+    buf, starts, ends = block.buf, block.starts, block.ends
+    if np.any((buf[:-1] == 60) & (buf[1:] == 124)):
+        return buf, starts, ends, np.ones(len(starts), np.int64)
+    buf = buf + (_CAPITAL[buf] * np.uint8(32))
+    core = ends.copy()
+    for _ in range(8):
+        more = _TAIL[buf[core - 1]] & (core - 1 > starts)
+        if not more.any():
+            break
+        core[more] -= 1
+    split = (core < ends) & _ALNUM[buf[core - 1]] if len(starts) else np.empty(0, bool)
+    count = 1 + split
+    at = np.cumsum(count) - count
+    first, last = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+    first[at], last[at] = starts, np.where(split, core, ends)
+    first[at[split] + 1], last[at[split] + 1] = core[split], ends[split]
+    return buf, first, last, count
+
+
 Tokenise = Callable[[TextBlock], tuple[np.ndarray, np.ndarray]]
 
 
 def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.json", cache_words: int = 400_000) -> Callable[[], Tokenise]:
-    """Tokeniser that encodes each distinct white-space-free run of a block once.
+    """Tokeniser that encodes each distinct word, without its closing punctuation, once.
 
     The file's normaliser and splitter never look across a space, tab, line feed
     or carriage return, so the ids of a text are those of its runs in order.
@@ -148,19 +181,19 @@ def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.jso
             where = public_tokenizers.path(name)
         encoder = Tokenizer.from_file(where)
         known: dict[int, int] = {}  # word hash -> slot
-        spans: list[np.ndarray] = []
-        keys = np.empty(0, np.uint64)
+        spans: list[list[int]] = []
 
-        def encode(words: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.uint32) for e in encoder.encode_batch_fast(words, add_special_tokens=False)]
+        def encode(words: list[str]) -> list[list[int]]:
+            return [e.ids for e in encoder.encode_batch_fast(words, add_special_tokens=False)]
 
         def run(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal spans, keys
-            hashes, first, inverse = np.unique(block.word_hash, return_index=True, return_inverse=True)
-            raw = block.buf.tobytes()
+            nonlocal spans
+            buf, begins, stops, per_word = runs_of(block)
+            hashes, first, inverse = np.unique(span_hash(buf, begins, stops), return_index=True, return_inverse=True)
+            raw = buf.tobytes()
             slots = np.fromiter((known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
             fresh = np.flatnonzero(slots < 0)
-            starts, ends = block.starts[first[fresh]].tolist(), block.ends[first[fresh]].tolist()
+            starts, ends = begins[first[fresh]].tolist(), stops[first[fresh]].tolist()
             new = encode([raw[a:b].decode() for a, b in zip(starts, ends, strict=True)])
             if len(known) + len(new) > cache_words:  # forget all but this block's words
                 kept = [spans[s] for s in slots[slots >= 0].tolist()]
@@ -173,11 +206,13 @@ def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.jso
             spans.extend(new)
             own = [spans[s] for s in slots.tolist()]
             sizes = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.concatenate(own) if own else np.empty(0, np.uint32)
+            flat = np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum()))
             begin = np.cumsum(sizes) - sizes
-            per_word = sizes[inverse]
-            ids = flat[ranges(begin[inverse], per_word)]
-            return ids, block.per_doc_words(per_word)
+            per_run = sizes[inverse]
+            ids = flat[ranges(begin[inverse], per_run)]
+            upto = np.concatenate([[0], np.cumsum(per_run)])
+            runs = np.concatenate([[0], np.cumsum(per_word)])[block.word_offsets]
+            return ids, np.diff(upto[runs])
 
         return run
 

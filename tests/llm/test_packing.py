@@ -33,7 +33,7 @@ def test_best_fill_is_optimal():
 def test_word_cache_equals_whole_text():
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(2)
-    parts = ["Don't", "STRASSE", "é́", "́", "12a", "ΣΣ", " ", "  ", "\n", "\t", " ", " ", "<|endoftext|>", "'s", "we've", "\x0b", "\x0c", "\x1c", "\x85", "#*$", "\U0001f600", "İ"]
+    parts = ["Don't", "STRASSE", "é́", "́", "12a", "ΣΣ", " ", "  ", "\n", "\t", " ", " ", "<|endoftext|>", "'s", "we've", "\x0b", "\x0c", "\x1c", "\x85", "#*$", "\U0001f600", "İ", "The", "a1", ".", ",", "!!", "...", "…", "&&&", "'", "\"", "x'", "<", "|", "<|", "ß", "é"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [None, ""]
     run = packing.word_cached_tokeniser(cache_words=50)()
     for a in range(0, len(texts), 67):
