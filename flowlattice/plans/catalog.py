@@ -565,7 +565,7 @@ def walk_forward_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {o.EV}, {o.HIST}, r AS (SELECT isFraud, row_number() OVER (ORDER BY risk_score DESC, {o.KEY}, event_id) AS rk FROM sc), t AS (SELECT count(*) AS n, sum(isFraud) AS p FROM sc),
   b AS (SELECT f::DOUBLE AS fraction, greatest(1, least(n, ceil(n * f::DOUBLE)))::BIGINT AS k, n AS transactions, p::BIGINT AS positives FROM (SELECT unnest([0.001, 0.005, 0.01]) AS f), t)
-  SELECT fraction, k, transactions, positives, sum(isFraud)::BIGINT AS reviewed_positives, round(sum(isFraud) / k, 9) AS precision, round(sum(isFraud) / nullif(positives, 0), 9) AS recall FROM b JOIN r ON rk <= k GROUP BY ALL""")
+  SELECT fraction, k, transactions, positives, sum(isFraud)::BIGINT AS reviewed_positives, round(sum(isFraud) / k, 9) AS precision, round(sum(isFraud) / nullif(positives, 0), 9) AS recall FROM b JOIN r ON rk <= k GROUP BY fraction, k, transactions, positives""")
 def review_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     keyed = clean.normalize_edges(scored).select("event_id", "event_key").join(scored.select("event_id", "risk_score", "isFraud"), "event_id")
