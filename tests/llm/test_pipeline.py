@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from test_exact_dedup import brute as brute_exact
 from test_packing import check_pieces
-from test_simhash_trie import brute_components, brute_fingerprint
+from test_simhash_trie import similarity
 from test_substring_dedup import brute as brute_passages
 
 from flowlattice.llm import quality_rules
@@ -47,8 +47,10 @@ def test_stages_match_brute_force(spark, tmp_path):
         elif name == "exact_dedup":
             want = {i: stage_rows[i] for i, keep, *_ in brute_exact(list(stage_rows.items())) if i == keep}
         elif name == "simhash_near_dedup":
-            component = brute_components([(i, brute_fingerprint(t)) for i, t in stage_rows.items()])
-            want = {i: t for i, t in stage_rows.items() if component[i] == i}
+            parent = {}
+            for i in sorted(stage_rows):
+                parent[i] = next((parent[j] for j in sorted(parent) if similarity(stage_rows[i], stage_rows[j]) >= 0.8), i)
+            want = {i: t for i, t in stage_rows.items() if parent[i] == i}
         else:
             want = {i: body for i, _, _, body in brute_passages(list(stage_rows.items()), 50)}
         got = {r.doc_id: r.text for r in docs.collect()}

@@ -70,8 +70,56 @@ def test_components_match_brute_force(spark):
     want = brute_components(fps)
     assert {i: c for i, (_, c) in got.items()} == want
     assert len(set(want.values())) < 220
+
+
+def similarity(a, b, words=5):
+    x, y = ({tuple(t.split()[i : i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_components_find_near_copies_and_spare_the_rest(spark):
+    rng = random.Random(16)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 500))] for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    near = {}
+    for k in range(300):
+        i = k % 120
+        words = list(base[i])
+        for _ in range(max(1, len(words) * rng.choice([2, 5, 9, 18]) // 1000)):
+            words[rng.randrange(len(words))] = f"new{k}"
+        near[1000 + k] = i
+        rows.append((1000 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    text = dict(rows)
+    got = {r.doc_id: r.component_id for r in st.similar_components(docs).collect()}
+    wanted = [j for j, i in near.items() if similarity(text[i], text[j]) >= 0.8]
+    assert len(wanted) > 200
+    assert np.mean([got[j] == got[near[j]] for j in wanted]) > 0.97
+    for j, c in got.items():  # a component never joins different originals
+        assert near.get(j, j) == near.get(c, c)
     kept = {r.doc_id for r in st.deduplicate(docs).collect()}
-    assert kept == set(want.values())
+    assert kept == set(got.values()) and set(range(120, 150)) <= kept
+
+
+def test_absorb_equals_all_pairs_in_a_leaf():
+    rng = np.random.default_rng(17)
+    n = 400
+    bucket, suffix = np.sort(rng.integers(0, 5, n)), rng.integers(0, 6, n).astype(np.uint64)
+    order = np.lexsort((suffix, bucket))
+    bucket, suffix = bucket[order], suffix[order]
+    kind = rng.integers(0, 3, n)
+
+    def close(a, b):
+        return kind[a] == kind[b]
+
+    left, made = st.absorb(bucket, suffix, close)
+    label = st.forest(n, iter(made))
+    want = {}
+    for i in range(n):
+        want.setdefault((bucket[i], suffix[i], kind[i]), i)
+    assert label.tolist() == [want[bucket[i], suffix[i], kind[i]] for i in range(n)] and sorted(left) == sorted(want.values())
+    cross = {(a, b) for x, y in st.trie_self_join(bucket[left], suffix[left], 3, 1, within_leaf=False) for a, b in zip(left[x].tolist(), left[y].tolist())}
+    assert {tuple(sorted(p)) for p in cross} == {(a, b) for a in left for b in left if a < b and bucket[a] == bucket[b] and int(suffix[a] ^ suffix[b]).bit_count() == 1}
 
 
 def test_edge_cases(edge_docs, empty_docs):
