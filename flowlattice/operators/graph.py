@@ -83,14 +83,14 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, iterations: int = 5
     return labels
 
 
-def community_profile(labels: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def community_profile(labels: DataFrame, vertices: DataFrame, edges: DataFrame, digits: int = 2) -> DataFrame:
     """Members and transactions of each community; transactions count where they start."""
     names = set(vertices.columns)
     members = labels.join(vertices, "id").groupBy("label").agg(
         F.count("*").alias("member_count"),
         *([F.count_if(F.col("account_type") == "Customer").alias("customer_count"), F.count_if(F.col("account_type") == "Merchant").alias("merchant_count")] if "account_type" in names else []),
         *([F.count_distinct("bank_id").alias("unique_banks_count")] if "bank_id" in names else []),
-        *([F.round(F.avg("balance"), 2).alias("avg_balance"), F.max("balance").alias("max_balance")] if "balance" in names else []),
+        *([F.round(F.avg("balance"), digits).alias("avg_balance"), F.max("balance").alias("max_balance")] if "balance" in names else []),
     )
     of = labels.select("id", "label")
     placed = edges.join(of.select(F.col("id").alias("src"), "label"), "src").join(of.select(F.col("id").alias("dst"), F.col("label").alias("to_label")), "dst")

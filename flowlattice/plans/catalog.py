@@ -235,13 +235,13 @@ def _trade_labels(spark: SparkSession, sf_dir: str) -> tuple[TxGraph, DataFrame]
 
 
 @query(f"""WITH {o.TRADE}, {o.TV}, m AS (SELECT CAST(bank_id AS BIGINT) AS label, count(*) AS member_count, count(*) FILTER (account_type = 'Customer') AS customer_count, count(*) FILTER (account_type = 'Merchant') AS merchant_count,
-    count(DISTINCT bank_id) AS unique_banks_count, round(avg(balance), 2) AS avg_balance, max(balance) AS max_balance FROM tv GROUP BY 1),
+    count(DISTINCT bank_id) AS unique_banks_count, round(avg(balance), 6) AS avg_balance, max(balance) AS max_balance FROM tv GROUP BY 1),
   t AS (SELECT CAST(s.bank_id AS BIGINT) AS label, count(*) AS n, sum(isFraud) AS p, count(*) FILTER (s.bank_id = d.bank_id) AS i FROM tr JOIN tv s ON s.id = src JOIN tv d ON d.id = dst GROUP BY 1)
   SELECT label, member_count, customer_count, merchant_count, unique_banks_count, avg_balance, max_balance, coalesce(n, 0) AS total_tx_count, coalesce(p, 0)::BIGINT AS positive_tx_count, coalesce(i, 0) AS internal_tx_count,
     coalesce(n - i, 0) AS cross_tx_count, round(coalesce(p, 0) / greatest(coalesce(n, 0), 1), 4) AS positive_rate, round(coalesce(i, 0) / greatest(coalesce(n, 0), 1), 4) AS internal_ratio FROM m LEFT JOIN t USING (label)""")
 def bank_community_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, labels = _trade_labels(spark, sf_dir)
-    return graph.community_profile(labels, g.vertices, g.edges)
+    return graph.community_profile(labels, g.vertices, g.edges, digits=6)
 
 
 @query(f"WITH {o.EV}, {o.lpa_ctes()} SELECT label, payment_currency, count(*) AS total_tx_count, round(sum(amount), 4) AS total_tx_amount FROM ev JOIN lp ON id = src GROUP BY ALL")
