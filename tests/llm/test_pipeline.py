@@ -63,3 +63,18 @@ def test_run(spark, tmp_path):
     rows = documents(random.Random(9))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50
+
+
+def test_stages_take_edge_cases_and_empty_tables(spark, edge_docs, empty_docs, tmp_path):
+    for which, start in (("edge", edge_docs), ("empty", empty_docs)):
+        docs = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            # every stage meets the edge cases themselves, not what earlier stages kept of them
+            out = stage(spark, start if which == "edge" else docs, "")
+            out.write.parquet(f"{tmp_path}/{which}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{which}{k}")
+            if name != "packing":
+                assert docs.columns == start.columns
+            if which == "empty":
+                assert docs.count() == 0
+        assert which == "empty" or docs.where("start = 0").count() == start.count()
