@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flowlattice.llm.textkernel import TextBlock, mix, powers, ranges, text_blocks
 
@@ -293,6 +292,27 @@ def _loader(path: str | None) -> Callable[[], Codec]:
     return load
 
 
+_BLOCK = 1 << 20  # arrays of several words per character stand beside each block
+
+
+def _packed(codec: Codec, rows: pa.RecordBatch, block: TextBlock, seed: int, dropout: float, variants: int) -> list[bytes | None]:
+    """The packed ids of each row of a block, None for a null text."""
+    keys = mix(np.array([i or 0 for i in rows.column(0).to_pylist()], np.int64).view(np.uint64))
+    ids, counts = codec.encode_block(block, keys, seed, dropout, variants)
+    stop = np.cumsum(counts)
+    raw = ids.astype("<u4")
+    null = rows.column(1).is_null().to_pylist()
+    return [None if z else raw[b - c : b].tobytes() for b, c, z in zip(stop.tolist(), counts.tolist(), null, strict=True)]
+
+
+def _text(codec: Codec, packed: bytes | None) -> str | None:
+    return None if packed is None else codec.decode_bytes(np.frombuffer(packed, "<u4")).decode()
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, variants: int = 8, path: str | None = None) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 32-bit piece ids of each whole text."""
     load = _loader(path)
@@ -300,16 +320,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load()
         for batch in batches:
-            for rows, block in text_blocks(batch, "text"):
-                keys = mix(np.array([i or 0 for i in rows.column(0).to_pylist()], np.int64).view(np.uint64))
-                ids, counts = codec.encode_block(block, keys, seed, dropout, variants)
-                stop = np.cumsum(counts)
-                raw = ids.astype("<u4")
-                null = rows.column(1).is_null().to_pylist()
-                packed = [None if z else raw[b - c : b].tobytes() for b, c, z in zip(stop.tolist(), counts.tolist(), null, strict=True)]
+            for rows, block in text_blocks(batch, "text", _BLOCK):
+                packed = _packed(codec, rows, block, seed, dropout, variants)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": pa.array(packed, pa.binary())})
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids binary")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -321,12 +336,22 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                texts = [None if p is None else codec.decode_bytes(np.frombuffer(p, "<u4")).decode() for p in rows.column(1).to_pylist()]
+                texts = [_text(codec, p) for p in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": rows.column(1), "text": pa.array(texts, pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, ids, text) after encoding and decoding."""
-    return decode(encode(docs, **options), options.get("path")).select("doc_id", "ids", F.col("text"))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, variants: int = 8, path: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): what :func:`encode` and then :func:`decode` give, in one Python worker a task."""
+    load = _loader(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load()
+        for batch in batches:
+            for rows, block in text_blocks(batch, "text", _BLOCK):
+                packed = _packed(codec, rows, block, seed, dropout, variants)
+                texts = [_text(codec, p) for p in packed]
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": pa.array(packed, pa.binary()), "text": pa.array(texts, pa.string())})
+
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")

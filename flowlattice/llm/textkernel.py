@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -190,8 +190,8 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         start = min(stop, n)
 
 
-def text_blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, TextBlock]]:
+def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, TextBlock]]:
     """Slices of a record batch with their text block."""
     texts = batch.column(batch.schema.get_field_index(column))
-    for start, stop in blocks(texts):
+    for start, stop in blocks(texts, limit):
         yield batch.slice(start, stop - start), TextBlock(texts.slice(start, stop - start))

@@ -67,4 +67,6 @@ def test_edge_cases(edge_docs, empty_docs):
     got = sp_codec.round_trip(edge_docs, dropout=0.2).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
     assert all((r.ids is None) == (r.text is None) for r in got)
+    apart = sp_codec.decode(sp_codec.encode(edge_docs, dropout=0.2)).collect()
+    assert sorted(apart, key=str) == sorted(got, key=str)
     assert sp_codec.round_trip(empty_docs).count() == 0
