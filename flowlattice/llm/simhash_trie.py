@@ -13,9 +13,10 @@ components come from star contractions.
 
 Two documents whose shingle sets have a similarity well below 1 differ in many
 bits of 64: for them :func:`similar_components` takes fingerprints of several
-64-bit lanes, joins the tries of many short views of the bits with a budget of
-their own, and keeps the pairs whose whole fingerprints are as close as the
-similarity asks for.  A pair needs to pass in one view only.
+64-bit lanes and joins the tries of many short views of the bits with a budget
+of their own.  A pair needs to pass in one view only.  Fingerprints only propose
+pairs: a pair is linked if the sets of distinct shingle hashes have the
+similarity asked for.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other.
 Rows with a null id carry the component of their fingerprint's smallest id.
@@ -65,14 +66,37 @@ def shingles(block: TextBlock, words: int) -> tuple[memoryview, np.ndarray, np.n
     return memoryview(joined.tobytes()), begin[at], ends[last] - 1, doc
 
 
-def fingerprints_of(block: TextBlock, words: int = WORDS, seed: int = SEED, lanes: int = 1) -> np.ndarray:
-    """64-bit SimHash per document of a block and lane; lane 0 has the plain shingle hashes."""
+def shingle_hashes(block: TextBlock, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of every shingle of a block."""
     raw, starts, ends, doc = shingles(block, words)
-    if not len(doc):
-        return np.zeros((block.n, lanes), np.uint64)
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_of(raw[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    counts = np.zeros((lanes, block.n, BITS), np.int64)
+    return np.fromiter((hash_of(raw[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)), doc
+
+
+def distinct_shingles(block: TextBlock, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document) of the distinct shingles of each document, their number and a 64-bit digest of their set."""
+    hashes, doc = shingle_hashes(block, words, seed)
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    hashes, doc = hashes[fresh], doc[fresh]
+    size = np.bincount(doc, minlength=block.n)
+    digest = np.zeros(block.n, np.uint64)
+    np.add.at(digest, doc, mix(hashes))
+    return hashes, doc, size, mix(digest + size.astype(np.uint64))
+
+
+def fingerprints_of(block: TextBlock, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """64-bit SimHash per document of a block, one column."""
+    return lanes_of(*shingle_hashes(block, words, seed), block.n)
+
+
+def lanes_of(hashes: np.ndarray, doc: np.ndarray, n: int, lanes: int = 1) -> np.ndarray:
+    """64-bit SimHash per document and lane; lane 0 has the plain hashes, which are ordered by document."""
+    if not len(doc):
+        return np.zeros((n, lanes), np.uint64)
+    counts = np.zeros((lanes, n, BITS), np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = doc[at : at + _CHUNK]
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -80,7 +104,7 @@ def fingerprints_of(block: TextBlock, words: int = WORDS, seed: int = SEED, lane
             own = hashes[at : at + _CHUNK] if not lane else mix(hashes[at : at + _CHUNK] + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15))
             bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[lane, part[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-    total = np.bincount(doc, minlength=block.n)
+    total = np.bincount(doc, minlength=n)
     packed = np.packbits(2 * counts > total[None, :, None], axis=2, bitorder="little").view("<u8")[:, :, 0]
     return packed.T.astype(np.uint64)
 
@@ -268,7 +292,10 @@ def forest_edges(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]
         yield pa.RecordBatch.from_pydict({"u": pa.array(ids[moved]), "v": pa.array(ids[label[moved]])})
 
 
-VIEW_BITS, VIEW_BUDGET, VIEW_BLOCKS, LANES = 32, 3, 5, 4
+#: 16 views of 32 bits; two of a view's four blocks agree, the 16 other bits may differ in 6.
+VIEW_BITS, VIEW_BLOCKS, VIEW_AGREE, VIEW_BUDGET, LANES = 32, 4, 2, 6, 8
+#: Lanes that travel with the views, for a first look at the distance.
+LOOK_LANES, LOOK_SLACK = 4, 4.0
 
 
 def bits_for_similarity(similarity: float, bits: int, slack: float = 1.0) -> int:
@@ -277,59 +304,112 @@ def bits_for_similarity(similarity: float, bits: int, slack: float = 1.0) -> int
     return int(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
+def view_masks() -> list[int]:
+    return block_masks(VIEW_BITS, VIEW_BLOCKS, VIEW_BLOCKS - VIEW_AGREE)
+
+
+def recall(similarity: float, draws: int = 20_000, seed: int = 0) -> float:
+    """Share of pairs at a similarity that are proposed, by drawing differing bits independently."""
+    rng = np.random.default_rng(seed)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = rng.random((draws, LANES * BITS)) < share
+    near = differ[:, : LOOK_LANES * BITS].sum(axis=1) <= bits_for_similarity(0.8, LOOK_LANES * BITS, LOOK_SLACK)
+    views = differ.reshape(draws, -1, VIEW_BITS)
+    seen = np.zeros(draws, bool)
+    for mask in view_masks():
+        held = np.array([mask >> b & 1 for b in range(VIEW_BITS)], bool)
+        seen |= (~views[:, :, held].any(axis=2) & (views[:, :, ~held].sum(axis=2) <= VIEW_BUDGET)).any(axis=1)
+    return float((near & seen).mean())
+
+
+def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """The pairs (u, v) of shingle-set digests whose sets have a Jaccard similarity of at least ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, block in text_blocks(batch, "text"):
+                hashes, doc, size, digest = distinct_shingles(block, words, seed)
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(digest.view(np.int64)), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))})
+
+    pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
+    nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    ids = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    found = source.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    sets = materialise(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    common = F.size(F.array_intersect("a", "b"))
+    return (
+        pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+        .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        .select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("both"))
+        .where(F.col("common") / (F.col("both") - F.col("common")) >= F.lit(float(similarity)))
+        .select("u", "v")
+    )
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """(doc_id, component_id): documents linked where their shingle sets have about ``similarity`` or more.
+    """(doc_id, component_id): documents linked where their shingle sets have ``similarity`` or more.
 
-    256-bit fingerprints, 8 views of 32 bits with a budget of 3.  At a similarity
-    of 0.8 a view finds a pair with probability 0.27, all views 0.92; at 0.9 it is
-    over 0.99.
+    512-bit fingerprints propose the pairs (:func:`recall` gives the share found),
+    the shingle sets decide.  Documents with one set are one node, their digest.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
-    masks = block_masks(VIEW_BITS, VIEW_BLOCKS, VIEW_BUDGET)
-    most = bits_for_similarity(similarity, LANES * BITS)
+    look = lanes[:LOOK_LANES]
+    masks = view_masks()
+    most = bits_for_similarity(similarity, LOOK_LANES * BITS, LOOK_SLACK)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
-                fp = fingerprints_of(block, words, seed, LANES).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0)} | {c: pa.array(np.ascontiguousarray(fp[:, k])) for k, c in enumerate(lanes)})
+                hashes, doc, size, digest = distinct_shingles(block, words, seed)
+                fp = lanes_of(hashes, doc, block.n, LANES).view(np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": rows.column(0), "node": pa.array(digest.view(np.int64)), "n": pa.array(size.astype(np.int64))}
+                    | {c: pa.array(np.ascontiguousarray(fp[:, k])) for k, c in enumerate(lanes)}
+                )
 
     source = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
-    marked = materialise(source.mapInArrow(mark, "doc_id long, " + ", ".join(f"{c} long" for c in lanes)), "simhash-lanes")
-    reps = materialise(marked.groupBy(*lanes).agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    marked = materialise(source.mapInArrow(mark, "doc_id long, node long, n long, " + ", ".join(f"{c} long" for c in lanes)), "simhash-lanes")
+    reps = materialise(marked.groupBy("node", "n", *lanes).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps")
     views = [F.shiftrightunsigned(c, 32 * half).bitwiseAND(F.lit((1 << 32) - 1)) for c in lanes for half in (0, 1)]
     table = F.explode(F.array(*[F.struct(F.lit(i * len(masks) + j).alias("t"), v.alias("w"), F.lit(m).cast("long").alias("m")) for i, v in enumerate(views) for j, m in enumerate(masks)]))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        reps.where("rep IS NOT NULL")
-        .select("rep", *lanes, table.alias("x"))
-        .select(F.col("x.t").alias("t"), F.col("x.w").bitwiseAND(F.col("x.m")).alias("key"), F.col("x.w").alias("w"), "rep", *lanes)
-        .repartition(n, "t", "key")
-        .sortWithinPartitions("t", "key")
+        reps.select("node", "n", *look, table.alias("x"))
+        .select(F.col("x.t").alias("t"), F.col("x.w").bitwiseAND(F.col("x.m")).alias("key"), F.col("x.w").alias("w"), "node", "n", *look)
+        .repartition(parts, "t", "key")
+        .sortWithinPartitions("t", "key", "node")
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, view, rep, *fps in whole_buckets(batches):
+        for t, key, view, node, n, *fps in whole_buckets(batches):
             for table_no in np.unique(t).tolist():
                 at = np.flatnonzero(t == table_no)
                 suffix, depth = free_bits(view[at].view(np.uint64), masks[table_no % len(masks)], VIEW_BITS)
                 bucket = np.cumsum(np.append(False, key[at][1:] != key[at][:-1]))
                 order = np.lexsort((suffix, bucket))
                 bucket, suffix = bucket[order], suffix[order]
-                own = [f[at][order].view(np.uint64) for f in fps]
+                at = at[order]
+                own, size = [f[at].view(np.uint64) for f in fps], n[at]
 
-                def close(a: np.ndarray, b: np.ndarray, own: list[np.ndarray] = own) -> np.ndarray:
-                    return sum((np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in own), np.zeros(len(a), np.int64)) <= most
+                def close(a: np.ndarray, b: np.ndarray, own: list[np.ndarray] = own, size: np.ndarray = size) -> np.ndarray:
+                    apart = sum((np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in own), np.zeros(len(a), np.int64))
+                    return (apart <= most) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
 
                 left, made = absorb(bucket, suffix, close)
                 found = trie_self_join(bucket[left], suffix[left], depth, VIEW_BUDGET, within_leaf=False)
                 across = ((left[a][ok], left[b][ok]) for a, b in found for ok in [close(left[a], left[b])])
-                yield from forest_edges(rep[at][order], chain(made, across))
-
-    roots = connected_components(dealt.mapInArrow(join, "u long, v long"))
-    by_fp = reps.join(roots, reps["rep"] == roots["node"], "left").select(*lanes, F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(by_fp, lanes).select("doc_id", "component_id")
+                for a, b in chain(made, across):
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"u": pa.array(node[at][a]), "v": pa.array(node[at][b])})
+
+    linked = verified(dealt.mapInArrow(join, "u long, v long"), reps, source, words, similarity, seed)
+    roots = connected_components(linked)
+    rooted = reps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_node = rooted.join(least, "root").select("node", "component_id")
+    return marked.join(by_node, "node", "left").select("doc_id", "component_id")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BUDGET, n_blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:

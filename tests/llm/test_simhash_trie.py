@@ -130,3 +130,27 @@ def test_edge_cases(edge_docs, empty_docs):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert st.components(empty_docs).count() == 0
     assert st.deduplicate(edge_docs).columns == edge_docs.columns
+
+
+def shared_prefix_docs(rng, pairs, shared, own):
+    """Pairs (i, 10000 + i) with ``shared`` equal words and then ``own`` words of each one's own, and their shingle similarity."""
+    rows = []
+    for i in range(pairs):
+        base = [f"p{i}x{rng.randrange(10**6)}" for _ in range(shared)]
+        for j in (i, 10_000 + i):
+            rows.append((j, " ".join([*base, *(f"q{j}y{k}" for k in range(own))])))
+    return rows, similarity(rows[0][1], rows[1][1])
+
+
+def test_links_are_exact_at_the_similarity(spark):
+    rng = random.Random(18)
+    for own, linked in ((12, True), (13, False), (20, False)):
+        rows, s = shared_prefix_docs(rng, 120, 100, own)
+        assert (s >= 0.8) == linked and s > 0.7
+        got = {r.doc_id: r.component_id for r in st.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        share = np.mean([got[10_000 + i] == i for i in range(120)])
+        assert share >= 0.97 if linked else share == 0
+
+
+def test_recall_of_the_views():
+    assert st.recall(0.8) > 0.99 and st.recall(0.85) > 0.998
