@@ -27,13 +27,13 @@ columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import chain, combinations
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.llm.components import connected_components
@@ -139,15 +139,17 @@ def free_bits(values: np.ndarray, mask: int, n_bits: int = BITS) -> tuple[np.nda
     return out, depth
 
 
-def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: int, limit: int = 1 << 18, within_leaf: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: int, limit: int = 1 << 18, within_leaf: bool = True, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of entries in one bucket whose suffixes differ in at most ``budget`` bits.
 
     Entries are sorted by (bucket, suffix), so a trie node is a range; a node's
     children are split by a running count of ones.  Pairs of nodes descend a bit
     at a time; stacks of more than ``limit`` node pairs are worked off in parts.
-    Without ``within_leaf``, entries with equal suffixes are not paired.
+    Without ``within_leaf``, entries with equal suffixes are not paired.  With
+    ``group``, two nodes that hold nothing but one group are left at once.
     """
     n = len(suffix)
+    turns = None if group is None else np.append(False, group[1:] != group[:-1]).cumsum()
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     ends = np.append(cut[1:], n)
     big = ends - cut > 1
@@ -156,6 +158,9 @@ def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: i
     stack = [(depth - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         bit, alo, ahi, blo, bhi, err = stack.pop()
+        if turns is not None and len(alo):
+            other = (group[alo] != group[blo]) | (turns[ahi - 1] != turns[alo]) | (turns[bhi - 1] != turns[blo])
+            alo, ahi, blo, bhi, err = (x[other] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
         if len(alo) > limit:
@@ -200,6 +205,27 @@ def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: i
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*child, strict=True))))
 
 
+def pairs_between_groups(bucket: np.ndarray, suffix: np.ndarray, group: np.ndarray, depth: int, budget: int, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of one bucket, at most ``budget`` bits apart, whose groups differ.
+
+    Entries are sorted by (bucket, suffix, group).  Those equal in all three are
+    joined as one, so a large group costs no comparison of its members.
+    """
+    start = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (suffix[1:] != suffix[:-1]) | (group[1:] != group[:-1])))
+    size = np.diff(np.append(start, len(suffix)))
+    for a, b in trie_self_join(bucket[start], suffix[start], depth, budget, group=group[start]):
+        other = group[start[a]] != group[start[b]]
+        a, b = a[other], b[other]
+        # a row of one entry's partners at a time, so that no part is larger than limit and one row
+        row, b = np.repeat(start[a], size[a]) + ranges(np.zeros(len(a), np.int64), size[a]), np.repeat(b, size[a])
+        total = np.cumsum(size[b])
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+            yield np.repeat(row[at:to], size[b[at:to]]), ranges(start[b[at:to]], size[b[at:to]])
+            at = to
+
+
 def absorb(bucket: np.ndarray, suffix: np.ndarray, close) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Work off equal suffixes: (entries left, links made).
 
@@ -375,37 +401,57 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     views = [F.shiftrightunsigned(c, 32 * half).bitwiseAND(F.lit((1 << 32) - 1)) for c in lanes for half in (0, 1)]
     table = F.explode(F.array(*[F.struct(F.lit(i * len(masks) + j).alias("t"), v.alias("w"), F.lit(m).cast("long").alias("m")) for i, v in enumerate(views) for j, m in enumerate(masks)]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
-        reps.select("node", "n", *look, table.alias("x"))
-        .select(F.col("x.t").alias("t"), F.col("x.w").bitwiseAND(F.col("x.m")).alias("key"), F.col("x.w").alias("w"), "node", "n", *look)
-        .repartition(parts, "t", "key")
-        .sortWithinPartitions("t", "key", "node")
-    )
+
+    def dealt(rows: DataFrame, table: Column) -> DataFrame:
+        """The rows (node, n, part, lanes) of each table's buckets together."""
+        return (
+            rows.select("node", "n", "part", *lanes, table.alias("x"))
+            .select(F.col("x.t").alias("t"), F.col("x.w").bitwiseAND(F.col("x.m")).alias("key"), F.col("x.w").alias("w"), "node", "n", "part", *look)
+            .repartition(parts, "t", "key")
+            .sortWithinPartitions("t", "key", "node")
+        )
+
+    def closeness(n: np.ndarray, fps: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        own = [f.view(np.uint64) for f in fps]
+
+        def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            apart = sum((np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in own), np.zeros(len(a), np.int64))
+            return (apart <= most) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+
+        return close
+
+    def edges(node: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b in pairs:
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"u": pa.array(node[a]), "v": pa.array(node[b])})
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, key, _, node, n, _, *fps in whole_buckets(batches):
+            leaf = np.append(False, (t[1:] != t[:-1]) | (key[1:] != key[:-1])).cumsum()
+            yield from edges(node, absorb(leaf, key, closeness(n, fps))[1])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, view, node, n, *fps in whole_buckets(batches):
+        for t, key, view, node, n, part, *fps in whole_buckets(batches):
             for table_no in np.unique(t).tolist():
                 at = np.flatnonzero(t == table_no)
                 suffix, depth = free_bits(view[at].view(np.uint64), masks[table_no % len(masks)], VIEW_BITS)
                 bucket = np.cumsum(np.append(False, key[at][1:] != key[at][:-1]))
-                order = np.lexsort((suffix, bucket))
-                bucket, suffix = bucket[order], suffix[order]
+                order = np.lexsort((node[at], part[at], suffix, bucket))
                 at = at[order]
-                own, size = [f[at].view(np.uint64) for f in fps], n[at]
-
-                def close(a: np.ndarray, b: np.ndarray, own: list[np.ndarray] = own, size: np.ndarray = size) -> np.ndarray:
-                    apart = sum((np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in own), np.zeros(len(a), np.int64))
-                    return (apart <= most) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-
-                left, made = absorb(bucket, suffix, close)
-                found = trie_self_join(bucket[left], suffix[left], depth, VIEW_BUDGET, within_leaf=False)
-                across = ((left[a][ok], left[b][ok]) for a, b in found for ok in [close(left[a], left[b])])
-                for a, b in chain(made, across):
-                    if len(a):
-                        yield pa.RecordBatch.from_pydict({"u": pa.array(node[at][a]), "v": pa.array(node[at][b])})
-
-    linked = verified(dealt.mapInArrow(join, "u long, v long"), reps, source, words, similarity, seed)
-    roots = connected_components(linked)
+                close = closeness(n[at], [f[at] for f in fps])
+                found = pairs_between_groups(bucket[order], suffix[order], part[at], depth, VIEW_BUDGET)
+                yield from edges(node[at], ((a[ok], b[ok]) for a, b in found for ok in [close(a, b)]))
+
+    def with_parts(links: DataFrame) -> DataFrame:
+        return reps.join(connected_components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+
+    # first stars among equal views, then every pair of two parts that are still apart: what
+    # is left out is linked already, so the parts do not depend on who leads a star
+    whole = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), v.alias("w"), F.lit((1 << 32) - 1).alias("m")) for i, v in enumerate(views)]))
+    near = materialise(verified(dealt(reps.withColumn("part", F.lit(0).cast("long")), whole).mapInArrow(stars, "u long, v long"), reps, source, words, similarity, seed), "simhash-stars")
+    apart = materialise(with_parts(near), "simhash-parts")
+    linked = verified(dealt(apart, table).mapInArrow(join, "u long, v long"), reps, source, words, similarity, seed)
+    roots = connected_components(near.unionAll(linked))
     rooted = reps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = rooted.join(least, "root").select("node", "component_id")

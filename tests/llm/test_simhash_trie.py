@@ -154,3 +154,28 @@ def test_links_are_exact_at_the_similarity(spark):
 
 def test_recall_of_the_views():
     assert st.recall(0.8) > 0.99 and st.recall(0.85) > 0.998
+
+
+def test_pairs_between_groups_are_all_pairs():
+    rng = np.random.default_rng(19)
+    n = 500
+    bucket, suffix, group = np.sort(rng.integers(0, 4, n)), rng.integers(0, 16, n).astype(np.uint64), rng.integers(0, 4, n) * (rng.random(n) < 0.5)
+    order = np.lexsort((group, suffix, bucket))
+    bucket, suffix, group = bucket[order], suffix[order], group[order]
+    got = [tuple(sorted(p)) for a, b in st.pairs_between_groups(bucket, suffix, group, 4, 2, limit=50) for p in zip(a.tolist(), b.tolist())]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if bucket[a] == bucket[b] and group[a] != group[b] and int(suffix[a] ^ suffix[b]).bit_count() <= 2}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_chains_of_near_copies_stay_together(spark):
+    """Only neighbours have the similarity, and many share a leaf with a leader that is not their neighbour."""
+    rng = random.Random(20)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(i, " ".join(words[i : i + 1500])) for i in range(1500)]
+    assert similarity(rows[0][1], rows[1][1]) >= 0.9985 > similarity(rows[0][1], rows[2][1])
+    seen = []
+    for parts in (3, 7):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        seen.append({r.doc_id: r.component_id for r in st.similar_components(docs, similarity=0.9985).collect()})
+    assert seen[0] == seen[1] == dict.fromkeys(range(1500), 0)
