@@ -2,15 +2,17 @@
 
 The agenda holds the candidate merges of a text's symbols; the best score goes
 first, the leftmost of equals.  Merge-dropout skips a candidate if a hash keyed
-by seed, variant and the candidate's place falls below ``dropout``, so
-segmentations vary with the seed and are the same on every run.  Each occurrence
-of a chunk takes one of ``variants`` draws by a hash of its document and place.
-Dropout 0 gives the model's own segmentation.
+by seed, document, the chunk's place in it and the candidate's borders falls
+below ``dropout``, so segmentations vary with the seed and from occurrence to
+occurrence and are the same on every run.  Dropout 0 gives the model's own
+segmentation.
 
 No piece of the model has a space mark after another character, so a text falls
-into chunks at such borders, and equal chunks of a block are segmented once, all
-of them side by side: each round merges every chunk's best candidate.  Long
-chunks go through a heap, one by one.
+into chunks at such borders, and equal chunks of a block are segmented once
+without dropout, all of them side by side: each round merges every chunk's best
+candidate.  An occurrence that skips none of the candidates met there has that
+segmentation; the others are segmented one each.  Long chunks go through a heap,
+one by one.
 
 Decoding joins pieces and bytes and drops the one space put in front.  A literal
 space mark (U+2581) is written as bytes, so every text comes back unchanged.
@@ -158,8 +160,11 @@ class Codec:
                 push(before[a])
         return [s for s, ok in zip(symbol, alive, strict=True) if ok]
 
-    def segment_rounds(self, symbols: np.ndarray, keys: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
-        """Agenda over chunks of one length side by side: (piece ids, pieces per chunk), row by row."""
+    def segment_rounds(self, symbols: np.ndarray, keys: np.ndarray, bar: int, met: list[tuple[np.ndarray, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda over chunks of one length side by side: (piece ids, pieces per chunk), row by row.
+
+        ``met`` collects the candidates that came up: (row, start, middle, end).
+        """
         rows, n = symbols.shape
         sym = symbols.astype(np.int32).copy()
         bound = np.tile(np.arange(n + 1, dtype=np.int32), (rows, 1))
@@ -168,6 +173,9 @@ class Codec:
             place = np.arange(n - 1)
             hashed = _candidate_hash(keys[:, None], place[None], place[None] + 1, place[None] + 2)
             rank = np.where(hashed < np.uint64(bar), _NEVER, rank)
+        if met is not None:
+            r, c = np.nonzero(rank < _NEVER)
+            met.append((r, c, c + 1, c + 2))
         out, size = np.zeros((rows, n), np.uint32), np.zeros(rows, np.int64)
         live = np.arange(rows)
         left = n
@@ -182,28 +190,33 @@ class Codec:
                     break
             i = np.arange(len(live))
             sym[i, best] = merged[i, best]
-            shift = np.arange(left - 1)[None] + (np.arange(left - 1)[None] > best[:, None])
-            sym = np.take_along_axis(sym, shift, 1)
-            edge = np.arange(left)[None] + (np.arange(left)[None] > best[:, None])
-            bound = np.take_along_axis(bound, edge, 1)
+            # the right symbol, the border before it and the merge itself go
+            keep = np.ones((len(live), left + 1), bool)
+            keep[i, best + 1] = False
+            sym, bound = sym[keep[:, :left]].reshape(-1, left - 1), bound[keep].reshape(-1, left)
             left -= 1
             if left == 1:
                 rank, merged = np.empty((len(live), 0), np.int64), np.empty((len(live), 0), np.int32)
                 continue
-            shift = np.arange(left - 1)[None] + (np.arange(left - 1)[None] >= best[:, None])
-            rank, merged = np.take_along_axis(rank, shift, 1), np.take_along_axis(merged, shift, 1)
+            keep = np.ones((len(live), left), bool)
+            keep[i, best] = False
+            rank, merged = rank[keep].reshape(-1, left - 1), merged[keep].reshape(-1, left - 1)
             for at, ok in ((best, best < left - 1), (best - 1, best > 0)):
                 r, c = i[ok], at[ok]
                 fresh, made = self.lookup(sym[r, c], sym[r, c + 1])
                 if bar:
                     hashed = _candidate_hash(keys[r], bound[r, c], bound[r, c + 1], bound[r, c + 2])
                     fresh = np.where(hashed < np.uint64(bar), _NEVER, fresh)
+                if met is not None:
+                    hit = fresh < _NEVER
+                    x, y = r[hit], c[hit]
+                    met.append((live[x], bound[x, y], bound[x, y + 1], bound[x, y + 2]))
                 rank[r, c], merged[r, c] = fresh, made
         keep = np.arange(n)[None] < size[:, None]
         return out[keep], size
 
-    def encode_block(self, block: TextBlock, doc_keys: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents, number of ids of each)."""
+    def encode_block(self, block: TextBlock, doc_keys: np.ndarray, seed: int, dropout: float, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, number of ids of each); with ``variants``, a chunk has at most so many segmentations."""
         bar = min(int(dropout * 2.0**64), (1 << 64) - 1)
         points = np.frombuffer(block.buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = block.per_doc(block.lead)
@@ -223,20 +236,49 @@ class Codec:
         start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(symbol)))
         ordinal = np.arange(len(start)) - np.searchsorted(start, begin)[doc[start]]
-        variant = np.zeros(len(start), np.uint64)
-        if bar:
-            variant = mix(mix(doc_keys[doc[start]] + np.uint64(seed)) + ordinal.astype(np.uint64)) % np.uint64(variants)
         inside = np.arange(len(symbol)) - np.repeat(start, length)
         values = mix(whole.astype(np.uint64)) * powers(_BASE, int(length.max()))[inside]
         chunk = mix(np.add.reduceat(values, start) + length.astype(np.uint64))
-        keys = mix(chunk + variant * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) if bar else chunk
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        ids, counts = self._segment(whole, symbol, start[first], length[first], keys[first], bar)
+        place = mix(mix(doc_keys[doc[start]] + np.uint64(seed)) + ordinal.astype(np.uint64))
+        if bar and variants is not None:
+            chunk = mix(chunk + place % np.uint64(variants) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        _, first, inverse = np.unique(chunk, return_index=True, return_inverse=True)
+        if not bar or variants is not None:
+            ids, counts = self._segment(whole, symbol, start[first], length[first], chunk[first], bar)
+        else:
+            met: list[tuple[np.ndarray, ...]] = []
+            plain = length[first] <= _LONG
+            base = np.cumsum(plain) - 1
+            ids, counts = self._segment(whole, symbol, start[first[plain]], length[first[plain]], chunk[first[plain]], 0, met)
+            own = self._skips(inverse, np.flatnonzero(plain), len(first), place, met, bar) | ~plain[inverse]
+            more, n_more = self._segment(whole, symbol, start[own], length[own], place[own], bar)
+            inverse = np.where(own, int(plain.sum()) + np.cumsum(own) - 1, base[inverse])
+            ids, counts = np.concatenate([ids, more]), np.concatenate([counts, n_more])
         at = np.cumsum(counts) - counts
         per_chunk = counts[inverse]
         return ids[ranges(at[inverse], per_chunk)], np.bincount(doc[start], weights=per_chunk, minlength=block.n).astype(np.int64)
 
-    def _segment(self, whole: np.ndarray, symbol: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _skips(chunk: np.ndarray, numbers: np.ndarray, n: int, place: np.ndarray, met: list[tuple[np.ndarray, ...]], bar: int) -> np.ndarray:
+        """Which occurrences skip a candidate that came up without dropout; ``numbers`` are the chunks of the rows met."""
+        out = np.zeros(len(chunk), bool)
+        if not met:
+            return out
+        row, left, middle, right = (np.concatenate(x) for x in zip(*met, strict=True))
+        row = numbers[row]
+        order = np.argsort(row, kind="stable")
+        left, middle, right = left[order], middle[order], right[order]
+        size = np.bincount(row, minlength=n)
+        begin = np.cumsum(size) - size
+        for a in range(0, len(chunk), 1 << 16):
+            c = chunk[a : a + (1 << 16)]
+            at, who = ranges(begin[c], size[c]), np.repeat(np.arange(a, a + len(c)), size[c])
+            out[who[_candidate_hash(place[who], left[at], middle[at], right[at]) < np.uint64(bar)]] = True
+        return out
+
+    def _segment(
+        self, whole: np.ndarray, symbol: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray, bar: int, met: list[tuple[np.ndarray, ...]] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(start), np.int64)
         made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         unknown = symbol[start] < 0
@@ -251,7 +293,10 @@ class Codec:
             elif n <= _LONG:
                 for a in range(0, len(rows), 40_000):
                     part = rows[a : a + 40_000]
-                    made.append((part, *self.segment_rounds(symbol[start[part][:, None] + np.arange(n)], keys[part], bar)))
+                    own: list[tuple[np.ndarray, ...]] | None = None if met is None else []
+                    made.append((part, *self.segment_rounds(symbol[start[part][:, None] + np.arange(n)], keys[part], bar, own)))
+                    if met is not None:
+                        met.extend((part[x[0]], *x[1:]) for x in own)
             else:
                 for k in rows.tolist():
                     ids = self.segment_heap(symbol[start[k] : start[k] + n].tolist(), int(keys[k]), bar)
@@ -295,10 +340,10 @@ def _loader(path: str | None) -> Callable[[], Codec]:
 _BLOCK = 1 << 20  # arrays of several words per character stand beside each block
 
 
-def _packed(codec: Codec, rows: pa.RecordBatch, block: TextBlock, seed: int, dropout: float, variants: int) -> list[bytes | None]:
+def _packed(codec: Codec, rows: pa.RecordBatch, block: TextBlock, seed: int, dropout: float) -> list[bytes | None]:
     """The packed ids of each row of a block, None for a null text."""
     keys = mix(np.array([i or 0 for i in rows.column(0).to_pylist()], np.int64).view(np.uint64))
-    ids, counts = codec.encode_block(block, keys, seed, dropout, variants)
+    ids, counts = codec.encode_block(block, keys, seed, dropout)
     stop = np.cumsum(counts)
     raw = ids.astype("<u4")
     null = rows.column(1).is_null().to_pylist()
@@ -313,7 +358,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, variants: int = 8, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, path: str | None = None) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 32-bit piece ids of each whole text."""
     load = _loader(path)
 
@@ -321,7 +366,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
         codec = load()
         for batch in batches:
             for rows, block in text_blocks(batch, "text", _BLOCK):
-                packed = _packed(codec, rows, block, seed, dropout, variants)
+                packed = _packed(codec, rows, block, seed, dropout)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": pa.array(packed, pa.binary())})
 
     return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
@@ -342,7 +387,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, variants: int = 8, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, path: str | None = None) -> DataFrame:
     """(doc_id, ids, text): what :func:`encode` and then :func:`decode` give, in one Python worker a task."""
     load = _loader(path)
 
@@ -350,7 +395,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         codec = load()
         for batch in batches:
             for rows, block in text_blocks(batch, "text", _BLOCK):
-                packed = _packed(codec, rows, block, seed, dropout, variants)
+                packed = _packed(codec, rows, block, seed, dropout)
                 texts = [_text(codec, p) for p in packed]
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "ids": pa.array(packed, pa.binary()), "text": pa.array(texts, pa.string())})
 

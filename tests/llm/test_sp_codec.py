@@ -70,3 +70,22 @@ def test_edge_cases(edge_docs, empty_docs):
     apart = sp_codec.decode(sp_codec.encode(edge_docs, dropout=0.2)).collect()
     assert sorted(apart, key=str) == sorted(got, key=str)
     assert sp_codec.round_trip(empty_docs).count() == 0
+
+
+def test_each_occurrence_draws_for_itself(codec):
+    """Equal to the heap with the occurrence's own key, and more than a fixed number of segmentations."""
+    words = ["internationalisation", "the", "a", "Straße", "w" * 60]
+    text = " ".join(words[k % 5] for k in range(3000))
+    block = TextBlock(pa.array([text], pa.string()))
+    doc_key = np.array([5], np.uint64)
+    ids, _ = codec.encode_block(block, doc_key, 7, 0.1)
+    bar, want = int(0.1 * 2.0**64), []
+    for ordinal, word in enumerate(text.split(" ")):
+        key = sp_codec.mix(sp_codec.mix(doc_key + np.uint64(7)) + np.uint64(ordinal))
+        want += codec.segment_heap([codec.chars[ord(c)] for c in "▁" + word], int(key[0]), bar)
+    assert ids.tolist() == want
+    seen = {tuple(w.split()) for w in " ".join(codec.pieces[i] for i in ids).split("▁") if "".join(w.split()) == words[0]}
+    assert len(seen) > 8
+    # "a" has one merge, with its mark
+    ids, _ = codec.encode_block(TextBlock(pa.array([" ".join(["a"] * 5000)], pa.string())), doc_key, 7, 0.1)
+    assert abs(np.mean(ids == codec.chars[sp_codec.MARK]) * len(ids) / 5000 - 0.1) < 0.015
