@@ -1,12 +1,12 @@
-"""Substring deduplication by level-wise doubling.
+"""Substring deduplication by one doubling of seed windows.
 
 A window is ``min_words`` consecutive words of one document; it is a repeat if
 its word sequence also starts in a document with a smaller id.  The first level
 looks at windows of half that length.  Of any ``min_words`` words the half
 window with the least hash is its seed, so two equal windows have equal seeds,
 and only seeds, not all positions, are exchanged.  Only windows whose seed was
-found in two documents are extended to twice the length and exchanged; lengths
-double until the target is reached or no candidate survives.
+found in two documents are extended to ``min_words`` and exchanged.  This is one
+step from ``min_words // 2``, whatever the target: there are no further levels.
 
 At the target length every candidate goes to an aggregation that keeps the
 smallest document of each word sequence (partial aggregates first, so a passage
