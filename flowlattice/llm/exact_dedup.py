@@ -8,9 +8,15 @@ open-addressing table that compares complete content; equal hashes alone never
 merge two records.  Copies meet in their own input partition first, so a group
 that holds a third of all rows reaches the exchange as one row per partition.
 
-Nulls count as empty text.  Ties (the same doc_id twice) keep one class: the
-smallest doc_id stays, every row is returned.  An empty table gives no rows.
-Extra columns are not read.
+Members are passed on as soon as they are read, so a table holds contents and a
+count each, however many rows share one; the merge holds one entry for each
+input partition that has a content.
+
+Nulls count as empty text.  :func:`classes` returns every row; where the smallest
+doc_id of a class stands on several rows, all of them are marked as kept.
+:func:`deduplicate` keeps one row of a class: the smallest id (a null id sorts
+last), then the smallest SHA-256 of its text; of rows equal in both, any one.
+An empty table gives no rows.  Extra columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ import os
 import pickle
 import re
 import tempfile
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.llm import rows as row_keys
 from flowlattice.llm.storage import materialise
 
 MEMORY_BYTES = 48 << 20
@@ -76,55 +84,61 @@ class OpenAddressingTable:
             self.slots[at] = entry
 
 
-Record = tuple[int, bytes, list[tuple]]
+Fold = Callable[[object, object], object]
 
 
-def grace_groups(records: Iterator[Record], budget: int = MEMORY_BYTES, level: int = 0, digest_bits: int = 64) -> Iterator[tuple[bytes, list[tuple]]]:
-    """Group (hash, content, payloads) records by complete content.
+class GraceGroups:
+    """Groups (hash, content, payload) records by complete content.
 
-    The table holds each content once.  When it outgrows ``budget``, its entries
-    and the records still to come go to ``FANOUT`` spill files by the next hash
-    bits, and each file is grouped in turn.
+    ``fold(state, payload)`` takes a record into its group's state, which is None at
+    first; a state folds into another one as well.  The table holds each content
+    once.  When it outgrows ``budget``, its entries and the records still to come go
+    to ``FANOUT`` spill files by the next hash bits; each file is grouped in turn.
     """
-    table = OpenAddressingTable()
-    for digest, content, payloads in records:
-        entry, found = table.find(digest, content)
-        if found:
-            table.values[entry].extend(payloads)
-        else:
-            table.values[entry] = payloads
-        table.bytes += 150 * len(payloads)
-        if table.bytes > budget and len(table.keys) > 1 and (level + 1) * 4 <= digest_bits:
-            yield from _spill(table, records, budget, level, digest_bits)
-            return
-    yield from zip(table.keys, table.values, strict=True)
 
+    def __init__(self, fold: Fold, budget: int = MEMORY_BYTES, level: int = 0, digest_bits: int = 64):
+        self.fold, self.budget, self.level, self.digest_bits = fold, budget, level, digest_bits
+        self.table = OpenAddressingTable()
+        self.folder: tempfile.TemporaryDirectory | None = None
+        self.files: list = []
 
-def _spill(table: OpenAddressingTable, rest: Iterator[Record], budget: int, level: int, digest_bits: int) -> Iterator[tuple[bytes, list[tuple]]]:
-    shift = digest_bits - 4 * (level + 1)
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
-        paths = [os.path.join(folder, str(i)) for i in range(FANOUT)]
-        files = [open(p, "wb") for p in paths]  # noqa: SIM115
+    def add(self, digest: int, content: bytes, payload: object) -> None:
+        if self.files:
+            self._spill(digest, content, payload)
+            return
+        entry, _ = self.table.find(digest, content)
+        self.table.values[entry] = self.fold(self.table.values[entry], payload)
+        if self.table.bytes > self.budget and len(self.table.keys) > 1 and (self.level + 1) * 4 <= self.digest_bits:
+            self.folder = tempfile.TemporaryDirectory(prefix="grace-")
+            self.files = [open(os.path.join(self.folder.name, str(i)), "w+b") for i in range(FANOUT)]  # noqa: SIM115
+            for record in zip(self.table.hashes, self.table.keys, self.table.values, strict=True):
+                self._spill(*record)
+            self.table = OpenAddressingTable()
+
+    def _spill(self, digest: int, content: bytes, payload: object) -> None:
+        file = self.files[(digest >> (self.digest_bits - 4 * (self.level + 1))) & (FANOUT - 1)]
+        pickle.dump((digest, content, payload), file, pickle.HIGHEST_PROTOCOL)
+
+    def groups(self) -> Iterator[tuple[bytes, object]]:
+        """(content, state) of every group, once all records are in."""
+        if not self.files:
+            yield from zip(self.table.keys, self.table.values, strict=True)
+            return
         try:
-            for source in (zip(table.hashes, table.keys, table.values, strict=True), rest):
-                for record in source:
-                    pickle.dump(record, files[(record[0] >> shift) & (FANOUT - 1)], pickle.HIGHEST_PROTOCOL)
+            for file in self.files:
+                file.seek(0)
+                part = GraceGroups(self.fold, self.budget, self.level + 1, self.digest_bits)
+                while True:
+                    try:
+                        part.add(*pickle.load(file))
+                    except EOFError:
+                        break
+                file.truncate(0)
+                yield from part.groups()
         finally:
-            for f in files:
-                f.close()
-        table.__init__()
-        for path in paths:
-            yield from grace_groups(_read(path), budget, level + 1, digest_bits)
-            os.unlink(path)
-
-
-def _read(path: str) -> Iterator[Record]:
-    with open(path, "rb") as f:
-        while True:
-            try:
-                yield pickle.load(f)
-            except EOFError:
-                return
+            for file in self.files:
+                file.close()
+            self.folder.cleanup()
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, text_at: int | None = None, limit_bytes: int = 8 << 20, limit_rows: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -140,72 +154,82 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, text_at: int | None = Non
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-_LOCAL = pa.schema([("doc_id", pa.int64()), ("local_key", pa.int64()), ("local_id", pa.int64()), ("n_local", pa.int64()), ("digest", pa.binary()), ("content", pa.binary())])
-_LOCAL_SQL = "doc_id long, local_key long, local_id long, n_local long, digest binary, content binary"
-_CLASS = pa.schema([("local_key", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-_CLASS_SQL = "local_key long, keep_id long, group_size long"
-
-
-def _null_last(i: int | None) -> tuple[bool, int]:
-    return i is None, i or 0
+_MEMBER = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("digest", pa.binary()), ("part", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
+_MEMBER_SQL = "doc_id long, row binary, digest binary, part long, n long, content binary"
+_CLASS = pa.schema([("part", pa.int64()), ("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_CLASS_SQL = "part long, digest binary, keep_id long, group_size long"
+_NO_ID = 1 << 63  # after every id
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normaliser: Callable[[str | None], bytes] = normalise, budget: int = MEMORY_BYTES) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, digest (SHA-256 of the content).
+    """One row per input row: doc_id, keep_id, group_size, kept, digest (SHA-256 of the content), row (of the text).
 
-    ``kept`` marks the row with the smallest id of its class; a null id sorts last.
+    ``kept`` marks the rows with the smallest id of their class; a null id sorts last.
     """
+    return _classes(row_keys.keyed(docs, id_col, text_col), normaliser, budget)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-
-        def records() -> Iterator[Record]:
-            for batch in batches:
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    content = normaliser(text.as_py())
-                    sha = hashlib.sha256(content).digest()
-                    yield int.from_bytes(sha[8:16], "little"), content, [(i, sha)]
 
-        def rows() -> Iterator[tuple]:
-            for key, (content, members) in enumerate(grace_groups(records(), budget), base):
-                members.sort(key=lambda m: _null_last(m[0]))
-                for k, (i, sha) in enumerate(members):
-                    yield i, key, members[0][0], len(members), sha, None if k else content
-
-        yield from _batches(rows(), _LOCAL, 5)
+def _classes(source: DataFrame, normaliser: Callable[[str | None], bytes], budget: int) -> DataFrame:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        table = GraceGroups(_least_and_count, budget)
+        for batch in batches:
+            members = []
+            for i, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                content = normaliser(text.as_py())
+                sha = hashlib.sha256(content).digest()
+                members.append((i, row, sha, part, None, None))
+                table.add(int.from_bytes(sha[8:16], "little"), content, (_NO_ID if i is None else i, 1))
+            yield from _batches(iter(members), _MEMBER)
+        found = table.groups()
+        yield from _batches(((_id(least), None, hashlib.sha256(content).digest(), part, n, content) for content, (least, n) in found), _MEMBER, 5)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[Record]:
-            for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns[:4]]
-                for key, i, n, sha, content in zip(*columns, batch.column(4), strict=True):
-                    yield int.from_bytes(sha[8:16], "little"), content.as_py(), [(key, i, n)]
+        table = GraceGroups(_least_count_parts, budget)
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for part, i, n, sha, content in zip(*columns, batch.column(4), strict=True):
+                table.add(int.from_bytes(sha[8:16], "little"), content.as_py(), (_NO_ID if i is None else i, n, array("q", [part])))
 
         def rows() -> Iterator[tuple]:
-            for _, members in grace_groups(records(), budget):
-                keep, size = min((m[1] for m in members), key=_null_last), sum(m[2] for m in members)
-                for key, _, _ in members:
-                    yield key, keep, size
+            for content, (least, n, parts) in table.groups():
+                sha = hashlib.sha256(content).digest()
+                for part in parts:
+                    yield part, sha, _id(least), n
 
         yield from _batches(rows(), _CLASS)
 
-    source = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
-    held = materialise(source.mapInArrow(local, _LOCAL_SQL), "exact-local")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = materialise(source.mapInArrow(local, _MEMBER_SQL), "exact-local")
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
         held.where("content IS NOT NULL")
-        .select("local_key", "local_id", "n_local", "digest", "content")
+        .select("part", F.col("doc_id").alias("least"), "n", "digest", "content")
         .repartition(n, "digest")
         .mapInArrow(merge, _CLASS_SQL)
     )
+    # an input partition names its contents by their digest; the contents themselves were compared
     return (
-        held.select("doc_id", "local_key", "digest")
-        .join(found, "local_key")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+        held.where("content IS NULL").select("doc_id", "row", "part", "digest")
+        .join(found, ["part", "digest"])
+        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "row")
     )
 
 
+def _id(least: int) -> int | None:
+    return None if least == _NO_ID else least
+
+
+def _least_and_count(state: tuple | None, payload: tuple) -> tuple:
+    return payload if state is None else (min(state[0], payload[0]), state[1] + payload[1])
+
+
+def _least_count_parts(state: tuple | None, payload: tuple) -> tuple:
+    if state is None:
+        return payload
+    state[2].extend(payload[2])
+    return min(state[0], payload[0]), state[1] + payload[1], state[2]
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows (all columns) whose id is the smallest of their class."""
-    dropped = classes(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped_id"))
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped_id"), "left_anti")
+    """One row (all columns) of each class of equal texts: the smallest id, then the smallest text key."""
+    return row_keys.keep_least(docs, classes(docs, id_col, text_col).withColumnRenamed("digest", "class"), id_col, text_col)

@@ -5,14 +5,15 @@ log frequency in each language.  An unseen word falls back to its character
 n-grams of the highest order, then the next shorter, until an order has a known
 n-gram; its score is their mean log frequency.  The sum over all words decides.
 
-Training reads the whole texts of at most ``docs_per_language`` documents of
-each language, the first by a keyed hash; words and n-grams seen fewer than
-``min_count`` times are left out, so the model is bounded by the sample and not
-by the corpus.  Scoring is one pass without a shuffle and scores each distinct
+Training reads the whole texts of about ``docs_per_language`` documents of each
+language (all, if there are fewer), those whose keyed hash lies below the share
+asked for, so nothing is ranked; words and n-grams seen fewer than ``min_count``
+times are left out, so the model is bounded by the sample and not by the corpus.  Scoring is one pass without a shuffle and scores each distinct
 word of a block once.
 
 A text that is null or has no letter is ``und`` with score 0.  Without training
-rows every text is ``und``.  Ties go to the language that sorts first.  Repeated
+rows every text is ``und``.  Rows that share an id and a language count as one training
+document, their greatest text.  Ties go to the language that sorts first.  Repeated
 rows are scored each; an empty table gives no rows; extra columns are not read.
 """
 
@@ -25,9 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.llm.rows import drawn, one_per_id
 from flowlattice.llm.textkernel import TextBlock, text_blocks
 
 UNKNOWN = "und"
@@ -87,9 +89,8 @@ def _log_table(counts: dict[str, dict[str, int]], languages: list[str], alpha: f
 
 def train(docs: DataFrame, lang_col: str = "lang", docs_per_language: int = 1500, min_count: int = 3, seed: int = 8) -> Model:
     """Fit on (doc_id, text, lang) rows; rows with a null language are not used."""
-    labelled = docs.select("doc_id", F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    chosen = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language).select("doc_id", "lang").distinct()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    chosen = one_per_id(drawn(labelled, docs_per_language, seed, ["lang"]), ["lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +112,7 @@ def train(docs: DataFrame, lang_col: str = "lang", docs_per_language: int = 1500
                     "key": pa.array([k[2] for k, _ in part], pa.string()), "n": pa.array([n for _, n in part], pa.int64()),
                 })
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # docs_per_language ids of each language
-    counted = texts.select("text", "lang").mapInArrow(count, "lang string, ord int, key string, n long")
+    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, ord int, key string, n long")
     rows = counted.groupBy("lang", "ord", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).collect()
     languages = sorted({r.lang for r in rows})
     tables: dict[int, dict[str, dict[str, int]]] = {k: {} for k in (0, *ORDERS)}
@@ -122,16 +122,14 @@ def train(docs: DataFrame, lang_col: str = "lang", docs_per_language: int = 1500
 
 
 class Scorer:
-    """Scores blocks; remembers the scores of words it has seen."""
+    """Scores blocks; remembers the scores of words it has seen, by the words themselves."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[int, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.letters: list[bool] = []
+        self.known: dict[bytes, tuple[np.ndarray, bool]] = {}
 
-    def _word(self, word: str) -> tuple[np.ndarray, bool]:
-        runs = letter_runs(word)
+    def _word(self, word: bytes) -> tuple[np.ndarray, bool]:
+        runs = letter_runs(word.decode())
         total = np.zeros(len(self.model.languages))
         for run in runs:
             score = self.model.run_score(run)
@@ -141,23 +139,20 @@ class Scorer:
 
     def scores(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
         """(sum of word scores per document and language, whether it has a letter)."""
-        hashes, first, inverse = np.unique(block.word_hash, return_index=True, return_inverse=True)
-        raw = block.buf.tobytes()
-        if len(self.known) + len(hashes) > _CACHE:
-            self.known, self.rows, self.letters = {}, [], []
-        slots = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-        fresh = np.flatnonzero(slots < 0)
-        for k, a, b in zip(fresh.tolist(), block.starts[first[fresh]].tolist(), block.ends[first[fresh]].tolist(), strict=True):
-            row, letter = self._word(raw[a:b].decode())
-            slots[k] = self.known[int(hashes[k])] = len(self.rows)
-            self.rows.append(row)
-            self.letters.append(letter)
-        n = len(self.model.languages)
-        if not len(hashes):
+        words, n = block.vocabulary.to_pylist(), len(self.model.languages)
+        if not words:
             return np.zeros((block.n, n)), np.zeros(block.n, bool)
-        table = np.array([self.rows[s] for s in slots.tolist()]).reshape(len(hashes), n)
-        letters = np.array([self.letters[s] for s in slots.tolist()], bool)
-        doc = block.doc_of_word
+        if len(self.known) + len(words) > _CACHE:
+            self.known = {}
+        found = []
+        for word in words:
+            row = self.known.get(word)
+            if row is None:
+                row = self.known[word] = self._word(word)
+            found.append(row)
+        table = np.array([r for r, _ in found]).reshape(len(words), n)
+        letters = np.array([x for _, x in found], bool)
+        doc, inverse = block.doc_of_word, block.word_ids
         total = np.stack([np.bincount(doc, weights=table[inverse, j], minlength=block.n) for j in range(n)], axis=1) if n else np.zeros((block.n, 0))
         return total, np.bincount(doc, weights=letters[inverse], minlength=block.n) > 0
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.textkernel import TextBlock, blocks, ranges, span_hash
+from flowlattice.llm.textkernel import TextBlock, blocks, intern, ranges
 
 CAPACITY = 2048
 GROUP_TOKENS = 4 << 20
@@ -132,16 +132,17 @@ _ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 _CAPITAL = np.array([65 <= c <= 90 for c in range(256)])
 
 
-def runs_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, runs per word): each word lower-cased, its closing punctuation apart.
+def runs_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, length of each run, runs per word): each word lower-cased, its closing punctuation apart.
 
+    The bytes are those of the words, one after another.
     A run of ASCII punctuation after an ASCII letter or digit at the end of a word
     is always a token boundary of the file's splitter (apostrophes stay inside).
     A block that may hold a special token's string is left as it is.
     """
     buf, starts, ends = block.buf, block.starts, block.ends
     if np.any((buf[:-1] == 60) & (buf[1:] == 124)):
-        return buf, starts, ends, np.ones(len(starts), np.int64)
+        return buf[~block._space], ends - starts, np.ones(len(starts), np.int64)
     buf = buf + (_CAPITAL[buf] * np.uint8(32))
     core = ends.copy()
     for _ in range(8):
@@ -152,10 +153,10 @@ def runs_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     split = (core < ends) & _ALNUM[buf[core - 1]] if len(starts) else np.empty(0, bool)
     count = 1 + split
     at = np.cumsum(count) - count
-    first, last = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
-    first[at], last[at] = starts, np.where(split, core, ends)
-    first[at[split] + 1], last[at[split] + 1] = core[split], ends[split]
-    return buf, first, last, count
+    lengths = np.empty(int(count.sum()), np.int64)
+    lengths[at] = np.where(split, core, ends) - starts
+    lengths[at[split] + 1] = (ends - core)[split]
+    return buf[~block._space], lengths, count
 
 
 Tokenise = Callable[[TextBlock], tuple[np.ndarray, np.ndarray]]
@@ -180,31 +181,22 @@ def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.jso
 
             where = public_tokenizers.path(name)
         encoder = Tokenizer.from_file(where)
-        known: dict[int, int] = {}  # word hash -> slot
-        spans: list[list[int]] = []
+        known: dict[bytes, list[int]] = {}  # ids of each run met lately
 
-        def encode(words: list[str]) -> list[list[int]]:
-            return [e.ids for e in encoder.encode_batch_fast(words, add_special_tokens=False)]
+        def encode(words: list[bytes]) -> list[list[int]]:
+            return [e.ids for e in encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
         def run(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal spans
-            buf, begins, stops, per_word = runs_of(block)
-            hashes, first, inverse = np.unique(span_hash(buf, begins, stops), return_index=True, return_inverse=True)
-            raw = buf.tobytes()
-            slots = np.fromiter((known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-            fresh = np.flatnonzero(slots < 0)
-            starts, ends = begins[first[fresh]].tolist(), stops[first[fresh]].tolist()
-            new = encode([raw[a:b].decode() for a, b in zip(starts, ends, strict=True)])
-            if len(known) + len(new) > cache_words:  # forget all but this block's words
-                kept = [spans[s] for s in slots[slots >= 0].tolist()]
-                slots[slots >= 0] = np.arange(len(kept))
-                spans = kept
+            data, lengths, per_word = runs_of(block)
+            distinct, inverse = intern(data, lengths)
+            words = distinct.to_pylist()
+            own = [known.get(w) for w in words]
+            fresh = [i for i, ids in enumerate(own) if ids is None]
+            for i, ids in zip(fresh, encode([words[i] for i in fresh]), strict=True):
+                own[i] = ids
+            if len(known) + len(fresh) > cache_words:
                 known.clear()
-                known.update(zip(hashes[slots >= 0].tolist(), range(len(kept)), strict=True))
-            slots[fresh] = np.arange(len(spans), len(spans) + len(new))
-            known.update(zip(hashes[fresh].tolist(), slots[fresh].tolist(), strict=True))
-            spans.extend(new)
-            own = [spans[s] for s in slots.tolist()]
+            known.update((words[i], own[i]) for i in fresh)
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             flat = np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum()))
             begin = np.cumsum(sizes) - sizes

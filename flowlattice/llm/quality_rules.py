@@ -3,8 +3,10 @@
 Each rule is a vectorised predicate over a :class:`TextBlock`.  On a bounded
 sample every rule's cost (seconds per byte) and rejection rate are measured;
 rules then run in decreasing order of rejection per cost, and a document that
-one rule rejects is not shown to the next.  A verdict is a conjunction, so it
-does not depend on the measured order; only the work does.
+one rule rejects is not shown to the next.  A verdict is a conjunction and the
+reason reported is the first in the rules' given order, so neither depends on the
+measured order; only the work does.  Counts that several rules or the report use
+are computed once a block.
 
 Nulls, empty texts and empty tables: a null text is the empty text, which has no
 words and is rejected by ``min_words``; an empty table gives an empty table.
@@ -20,8 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from flowlattice.llm.textkernel import TextBlock, mix, ranges, span_hash, text_blocks
+from flowlattice.llm.textkernel import TextBlock, text_blocks
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -29,16 +32,26 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
-_DOC_SALT = np.uint64(0xA0761D6478BD642F)
-TRIGRAM_BASE = 0xC2B2AE3D27D4EB4F
 
 
-def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: is its key found more than once; is it a later occurrence."""
+def measured_once(measure: Callable[[TextBlock], np.ndarray]) -> Callable[[TextBlock], np.ndarray]:
+    """A count per document that a block remembers, so rules and reports that share it compute it once."""
+
+    def get(block: TextBlock) -> np.ndarray:
+        held = block.__dict__.setdefault("_measured", {})
+        if measure.__name__ not in held:
+            held[measure.__name__] = measure(block)
+        return held[measure.__name__]
+
+    get.__name__, get.__doc__ = measure.__name__, measure.__doc__
+    return get
+
+
+def _repeats(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry (in document order): is its key found again in its document; is it a later occurrence."""
     order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
     same = np.zeros(len(keys), bool)
-    same[1:] = ranked[1:] == ranked[:-1]
+    same[1:] = (keys[order[1:]] == keys[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
     again, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     grouped = same.copy()
     grouped[:-1] |= same[1:]
@@ -46,33 +59,43 @@ def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, later
 
 
+@measured_once
 def word_chars(block: TextBlock) -> np.ndarray:
     """Code points in words."""
     return block.per_doc(block.lead & ~block._space)
 
 
+@measured_once
 def n_symbols(block: TextBlock) -> np.ndarray:
     """Characters of ``[#*$%&|<>]``."""
     return block.per_doc(_IS_SYMBOL[block.buf])
 
 
+@measured_once
+def n_lines(block: TextBlock) -> np.ndarray:
+    """Lines with a word."""
+    return np.bincount(block.lines[0], minlength=block.n)
+
+
+@measured_once
 def n_dup_lines(block: TextBlock) -> np.ndarray:
     """Lines with a word that equal an earlier line of the same document."""
-    doc, starts, ends = block.lines
-    _, later = _repeats(mix(span_hash(block.buf, starts, ends) + doc.astype(np.uint64) * _DOC_SALT))
-    return np.bincount(doc[later], minlength=block.n).astype(np.int64)
+    doc, ids = block.lines
+    return np.bincount(doc[_repeats(ids, doc)[1]], minlength=block.n).astype(np.int64)
 
 
+@measured_once
 def n_repeat_words(block: TextBlock) -> np.ndarray:
     """Words covered by a 3-word window found twice or more in the document."""
-    first, hashes = block.windows(3, TRIGRAM_BASE)
-    again, _ = _repeats(mix(hashes + block.doc_of_word[first].astype(np.uint64) * _DOC_SALT))
+    first, ids = block.trigrams()
+    again, _ = _repeats(ids, block.doc_of_word[first])
     covered = np.zeros(len(block.starts) + 2, bool)
     for shift in range(3):
         covered[first[again] + shift] = True
     return block.per_doc_words(covered[: len(block.starts)])
 
 
+@measured_once
 def n_shouted_words(block: TextBlock) -> np.ndarray:
     """Words of two or more ASCII letters, all of them capitals."""
     upper = np.concatenate([[0], np.cumsum(_UPPER[block.buf])])
@@ -81,6 +104,7 @@ def n_shouted_words(block: TextBlock) -> np.ndarray:
     return block.per_doc_words((ups >= 2) & (lower[block.ends] == lower[block.starts]))
 
 
+@measured_once
 def n_alpha_words(block: TextBlock) -> np.ndarray:
     """Words with an ASCII letter or a character beyond ASCII."""
     letter = np.concatenate([[0], np.cumsum(_UPPER[block.buf] | _LOWER[block.buf] | (block.buf >= 128))])
@@ -112,8 +136,7 @@ def default_rules(
         return (chars < low * block.n_words) | (chars > high * block.n_words)
 
     def dup_lines(block: TextBlock) -> np.ndarray:
-        lines = np.bincount(block.lines[0], minlength=block.n)
-        return n_dup_lines(block) > max_dup_line_share * lines
+        return n_dup_lines(block) > max_dup_line_share * n_lines(block)
 
     return [
         Rule("min_words", lambda b: b.n_words < min_words),
@@ -126,16 +149,19 @@ def default_rules(
     ]
 
 
-def measure(rules: Sequence[Rule], texts: Sequence[str | None]) -> list[tuple[str, float, float]]:
-    """(name, seconds per byte, share rejected) of each rule alone on sample texts."""
+def measure(rules: Sequence[Rule], texts: Sequence[str | None], repeats: int = 3) -> list[tuple[str, float, float]]:
+    """(name, seconds per byte, share rejected) of each rule alone on sample texts; the least time of a few."""
     array = pa.array(list(texts), pa.large_string())
     size = max(1, sum(len(t.encode()) for t in texts if t))
     found = []
     for rule in rules:
-        block = TextBlock(array)
-        began = time.process_time()
-        rejected = rule.rejects(block)
-        found.append((rule.name, max(time.process_time() - began, 1e-6) / size, float(rejected.mean()) if len(texts) else 0.0))
+        took = []
+        for _ in range(repeats):
+            block = TextBlock(array)
+            began = time.process_time()
+            rejected = rule.rejects(block)
+            took.append(time.process_time() - began)
+        found.append((rule.name, max(min(took), 1e-6) / size, float(rejected.mean()) if len(texts) else 0.0))
     return found
 
 
@@ -145,83 +171,99 @@ def order_rules(rules: Sequence[Rule], measured: Sequence[tuple[str, float, floa
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
-def plan_cascade(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = 256, sample_chars: int = 20_000) -> list[Rule]:
-    """Order rules by a bounded sample (``sample_rows`` texts of at most ``sample_chars``).
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = 256, sample_chars: int = 20_000, one_in: int = 16) -> list[Rule]:
+    """Order rules by a bounded sample: ``sample_rows`` texts, cut to ``sample_chars``, of the one text in ``one_in`` that a hash picks.
 
     The sample only sets the order of evaluation; verdicts use whole texts of all rows.
     """
-    rows = docs.selectExpr(f"substring(`{text_col}`, 1, {sample_chars}) AS sample_text").limit(sample_rows).collect()
-    return order_rules(rules, measure(rules, [r[0] for r in rows]))
+    text = F.col(f"`{text_col}`")
+    picked = docs.where(F.pmod(F.xxhash64(text, F.lit(17)), F.lit(one_in)) == 0).select(F.substring(text, 1, sample_chars)).limit(sample_rows).collect()
+    return order_rules(rules, measure(rules, [r[0] for r in picked]))
 
 
 def run_cascade(block: TextBlock, rules: Sequence[Rule]) -> np.ndarray:
-    """Index of the rule that rejected each document, -1 if it passes all."""
-    verdict = np.full(block.n, -1, np.int64)
+    """Which documents pass all rules; a document that one rule rejects is not shown to the next."""
     alive, current = np.arange(block.n), block
-    for i, rule in enumerate(rules):
+    for rule in rules:
         if not len(alive):
             break
         rejected = rule.rejects(current)
-        verdict[alive[rejected]] = i
         if rejected.any():
             alive = alive[~rejected]
-            current = TextBlock(block.texts.take(pa.array(alive))) if rejected.mean() > 0.25 else _Subset(current, ~rejected)
-    return verdict
+            current = _Subset(current, ~rejected)
+    kept = np.zeros(block.n, bool)
+    kept[alive] = True
+    return kept
+
+
+def first_rejection(block: TextBlock, kept: np.ndarray, rules: Sequence[Rule]) -> list[str | None]:
+    """Name of the first rule, in the given order, that rejects each document; only rejected ones are looked at."""
+    out: list[str | None] = [None] * block.n
+    left = np.flatnonzero(~kept)
+    current = _Subset(block, ~kept)
+    for rule in rules:
+        if not len(left):
+            break
+        rejected = rule.rejects(current)
+        for k in left[rejected].tolist():
+            out[k] = rule.name
+        left, current = left[~rejected], _Subset(current, ~rejected)
+    return out
 
 
 class _Subset(TextBlock):
-    """The kept documents of a block, reusing the word index already found."""
+    """The kept documents of a block, with the word index and the counts already found."""
 
     def __init__(self, parent: TextBlock, keep: np.ndarray):
         lengths = np.diff(parent.offsets)
         self.buf = parent.buf[np.repeat(keep, lengths)]
         self.n = int(keep.sum())
         self.offsets = np.concatenate([[0], np.cumsum(lengths[keep])]).astype(np.int64)
-        self.texts = parent.texts.filter(pa.array(keep))
         if "_spans" in parent.__dict__:
             words = np.repeat(keep, parent.n_words)
             shift = np.repeat((parent.offsets[:-1][keep] - self.offsets[:-1]), parent.n_words[keep])
             self.__dict__["_spans"] = (parent.starts[words] - shift, parent.ends[words] - shift)
-            if "word_hash" in parent.__dict__:
-                self.__dict__["word_hash"] = parent.word_hash[words]
+            if "_words" in parent.__dict__:
+                self.__dict__["_words"] = (parent.vocabulary, parent.word_ids[words])
+        self._measured = {k: v[keep] for k, v in parent.__dict__.get("_measured", {}).items()}
+
 
+STATS = {"word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
 
-STATS_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, rejected_by string"
 
+def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", reasons: bool = True) -> DataFrame:
+    """(doc_id, kept, rejected_by): the cascade's verdict and, with ``reasons``, the first rule in the given order that rejects.
 
-def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rejected_by): the cascade alone; ``rejected_by`` is null if kept."""
-    return _judge(docs, rules, id_col, text_col, with_stats=False)
+    Neither depends on the measured order, which only changes the work.
+    """
+    return _judge(docs, rules, id_col, text_col, reasons, with_stats=False)
 
 
-def judge_with_stats(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The cascade's verdict beside the five base counts of every document."""
-    return _judge(docs, rules, id_col, text_col, with_stats=True)
+def judge_with_stats(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", reasons: bool = True) -> DataFrame:
+    """The cascade's verdict beside the five base counts of every document; rules reuse those counts."""
+    return _judge(docs, rules, id_col, text_col, reasons, with_stats=True)
 
 
-def _judge(docs: DataFrame, rules: Sequence[Rule] | None, id_col: str, text_col: str, with_stats: bool) -> DataFrame:
-    ordered = plan_cascade(docs, rules or default_rules(), text_col)
-    names = [r.name for r in ordered]
+def _judge(docs: DataFrame, rules: Sequence[Rule] | None, id_col: str, text_col: str, reasons: bool, with_stats: bool) -> DataFrame:
+    given = rules or default_rules()
+    ordered = plan_cascade(docs, given, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
-                stats = {}
+                out = {"doc_id": rows.column(0)}
                 if with_stats:
-                    stats = {
-                        "n_words": block.n_words,
-                        "word_chars": word_chars(block),
-                        "n_symbols": n_symbols(block),
-                        "n_dup_lines": n_dup_lines(block),
-                        "n_repeat_words": n_repeat_words(block),
-                    }
-                verdict = run_cascade(block, ordered)
-                out = {"doc_id": rows.column(0)} | {k: pa.array(v, pa.int64()) for k, v in stats.items()}
-                out["rejected_by"] = pa.array([names[i] if i >= 0 else None for i in verdict], pa.string())
+                    out["n_words"] = pa.array(block.n_words, pa.int64())
+                    out |= {k: pa.array(f(block), pa.int64()) for k, f in STATS.items()}
+                kept = run_cascade(block, ordered)
+                out["kept"] = pa.array(kept)
+                if reasons:
+                    out["rejected_by"] = pa.array(first_rejection(block, kept, given), pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = STATS_SCHEMA if with_stats else "doc_id long, rejected_by string"
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, schema)
+    stats = "n_words long, " + "".join(f"{k} long, " for k in STATS) if with_stats else ""
+    schema = f"doc_id long, {stats}kept boolean" + (", rejected_by string" if reasons else "")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text") -> DataFrame:
@@ -233,10 +275,6 @@ def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, text_
         for batch in batches:
             named = batch.rename_columns([str(i) for i in range(batch.num_columns)])
             for rows, block in text_blocks(named, str(at)):
-                kept = rows.filter(pa.array(run_cascade(block, ordered) < 0))
-                yield kept.rename_columns(batch.schema.names)
+                yield rows.filter(pa.array(run_cascade(block, ordered))).rename_columns(batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-__all__ = ["Rule", "default_rules", "filter_documents", "judge", "judge_with_stats", "measure", "order_rules", "plan_cascade", "ranges", "run_cascade"]

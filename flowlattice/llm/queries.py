@@ -50,11 +50,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.judge_with_stats(_table(spark, sf_dir, "documents"))
+    found = quality_rules.judge_with_stats(_table(spark, sf_dir, "documents"), reasons=False)
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"),
+        base.alias("base_failed"), (~base & F.col("kept")).alias("kept"),
     )
 
 

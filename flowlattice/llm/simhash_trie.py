@@ -16,7 +16,8 @@ bits of 64: for them :func:`similar_components` takes fingerprints of several
 64-bit lanes and joins the tries of many short views of the bits with a budget
 of their own.  A pair needs to pass in one view only.  Fingerprints only propose
 pairs: a pair is linked if the sets of distinct shingle hashes have the
-similarity asked for.
+similarity asked for.  :func:`deduplicate` drops rows, not ids: where the smallest
+id of a component stands on several of its rows, the smallest text key stays.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other.
 Rows with a null id carry the component of their fingerprint's smallest id.
@@ -27,18 +28,19 @@ columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.llm import rows as row_keys
 from flowlattice.llm.components import connected_components
 from flowlattice.llm.storage import materialise
-from flowlattice.llm.textkernel import TextBlock, mix, ranges, text_blocks
+from flowlattice.llm.textkernel import TextBlock, digests, mix, ranges, text_blocks
 
 BITS = 64
 WORDS = 3
@@ -73,8 +75,8 @@ def shingle_hashes(block: TextBlock, words: int, seed: int) -> tuple[np.ndarray,
     return np.fromiter((hash_of(raw[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)), doc
 
 
-def distinct_shingles(block: TextBlock, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document) of the distinct shingles of each document, their number and a 64-bit digest of their set."""
+def distinct_shingles(block: TextBlock, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(hash, document) of the distinct shingles of each document, their number and a 128-bit digest of their set."""
     hashes, doc = shingle_hashes(block, words, seed)
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
@@ -82,9 +84,9 @@ def distinct_shingles(block: TextBlock, words: int, seed: int) -> tuple[np.ndarr
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     hashes, doc = hashes[fresh], doc[fresh]
     size = np.bincount(doc, minlength=block.n)
-    digest = np.zeros(block.n, np.uint64)
-    np.add.at(digest, doc, mix(hashes))
-    return hashes, doc, size, mix(digest + size.astype(np.uint64))
+    ends = np.append(0, np.cumsum(size)).tolist()
+    raw = hashes.astype("<u8").tobytes()
+    return hashes, doc, size, digests([raw[8 * a : 8 * b] for a, b in zip(ends, ends[1:], strict=False)])
 
 
 def fingerprints_of(block: TextBlock, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -101,7 +103,7 @@ def lanes_of(hashes: np.ndarray, doc: np.ndarray, n: int, lanes: int = 1) -> np.
         part = doc[at : at + _CHUNK]
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         for lane in range(lanes):
-            own = hashes[at : at + _CHUNK] if not lane else mix(hashes[at : at + _CHUNK] + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15))
+            own = hashes[at : at + _CHUNK] if not lane else mix(hashes[at : at + _CHUNK] + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[lane, part[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
     total = np.bincount(doc, minlength=n)
@@ -319,9 +321,10 @@ def forest_edges(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 #: 16 views of 32 bits; two of a view's four blocks agree, the 16 other bits may differ in 6.
-VIEW_BITS, VIEW_BLOCKS, VIEW_AGREE, VIEW_BUDGET, LANES = 32, 4, 2, 6, 8
-#: Lanes that travel with the views, for a first look at the distance.
-LOOK_LANES, LOOK_SLACK = 4, 4.0
+VIEW_BITS, VIEW_BLOCKS, VIEW_AGREE, VIEW_BUDGET, LANES = 32, 4, 2, 6, 16
+VIEW_LANES = 8
+#: A first look at the distance takes 4 lanes and leaves 4 standard deviations, the second all 16 and 3.
+LOOK_LANES, LOOK_SLACK, SLACK = 4, 4.0, 3.0
 
 
 def bits_for_similarity(similarity: float, bits: int, slack: float = 1.0) -> int:
@@ -340,7 +343,8 @@ def recall(similarity: float, draws: int = 20_000, seed: int = 0) -> float:
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     differ = rng.random((draws, LANES * BITS)) < share
     near = differ[:, : LOOK_LANES * BITS].sum(axis=1) <= bits_for_similarity(0.8, LOOK_LANES * BITS, LOOK_SLACK)
-    views = differ.reshape(draws, -1, VIEW_BITS)
+    near &= differ.sum(axis=1) <= bits_for_similarity(0.8, LANES * BITS, SLACK)
+    views = differ[:, : VIEW_LANES * BITS].reshape(draws, -1, VIEW_BITS)
     seen = np.zeros(draws, bool)
     for mask in view_masks():
         held = np.array([mask >> b & 1 for b in range(VIEW_BITS)], bool)
@@ -349,20 +353,21 @@ def recall(similarity: float, draws: int = 20_000, seed: int = 0) -> float:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
-    """The pairs (u, v) of shingle-set digests whose sets have a Jaccard similarity of at least ``similarity``."""
+    """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, block in text_blocks(batch, "text"):
-                hashes, doc, size, digest = distinct_shingles(block, words, seed)
+            for rows, block in text_blocks(batch, "text"):
+                hashes, _, size, _ = distinct_shingles(block, words, seed)
                 ends = np.append(0, np.cumsum(size)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"node": pa.array(digest.view(np.int64)), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))})
+                yield pa.RecordBatch.from_pydict({"node": rows.column(1), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))})
 
     pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    ids = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    found = source.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>")
-    sets = materialise(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    # one row of one document stands for a node
+    asked = reps.join(nodes, "node", "left_semi").select("node", "doc_id", "row")
+    found = source.join(asked, ["doc_id", "row"]).select("text", "node").mapInArrow(run, "node long, shingles array<long>")
+    sets = materialise(found.dropDuplicates(["node"]), "simhash-sets")
     common = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
@@ -374,51 +379,58 @@ def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: int, s
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """(doc_id, component_id): documents linked where their shingle sets have ``similarity`` or more.
-
-    512-bit fingerprints propose the pairs (:func:`recall` gives the share found),
-    the shingle sets decide.  Documents with one set are one node, their digest.
+    """(doc_id, row, class, component_id): documents linked where their shingle sets have ``similarity`` or more.
+
+    1024-bit fingerprints propose the pairs (:func:`recall` gives the share found),
+    the shingle sets decide.  Documents with one set, told by a 128-bit digest, are
+    one node.  Links are looked for in three rounds, each between nodes that are
+    still apart: stars among equal views, then each node's nearest proposed partner,
+    then every proposed pair.  The last round makes the result whole; the rounds
+    before it keep a group of near copies from being verified pair by pair.
     """
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(LANES)]
-    look = lanes[:LOOK_LANES]
     masks = view_masks()
-    most = bits_for_similarity(similarity, LOOK_LANES * BITS, LOOK_SLACK)
+    first_look = bits_for_similarity(similarity, LOOK_LANES * BITS, LOOK_SLACK)
+    full_look = bits_for_similarity(similarity, LANES * BITS, SLACK)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
-                hashes, doc, size, digest = distinct_shingles(block, words, seed)
+                hashes, doc, size, (high, low) = distinct_shingles(block, words, seed)
                 fp = lanes_of(hashes, doc, block.n, LANES).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": rows.column(0), "node": pa.array(digest.view(np.int64)), "n": pa.array(size.astype(np.int64))}
+                    {"doc_id": rows.column(0), "row": rows.column(1), "high": pa.array(high.view(np.int64)), "low": pa.array(low.view(np.int64)), "n": pa.array(size.astype(np.int64))}
                     | {c: pa.array(np.ascontiguousarray(fp[:, k])) for k, c in enumerate(lanes)}
                 )
 
-    source = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
-    marked = materialise(source.mapInArrow(mark, "doc_id long, node long, n long, " + ", ".join(f"{c} long" for c in lanes)), "simhash-lanes")
-    reps = materialise(marked.groupBy("node", "n", *lanes).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-reps")
-    views = [F.shiftrightunsigned(c, 32 * half).bitwiseAND(F.lit((1 << 32) - 1)) for c in lanes for half in (0, 1)]
-    table = F.explode(F.array(*[F.struct(F.lit(i * len(masks) + j).alias("t"), v.alias("w"), F.lit(m).cast("long").alias("m")) for i, v in enumerate(views) for j, m in enumerate(masks)]))
+    source = row_keys.keyed(docs, id_col, text_col)
+    marked = materialise(source.mapInArrow(mark, "doc_id long, row binary, high long, low long, n long, " + ", ".join(f"{c} long" for c in lanes)), "simhash-lanes")
+    least = F.min(F.struct(F.col("doc_id"), F.col("row")))
+    grouped = marked.where("doc_id IS NOT NULL").groupBy("high", "low", "n", *lanes).agg(least.alias("x"))
+    # written once, so a node's number stays what it is
+    reps = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "high", "low", "n", *lanes, "x.doc_id", "x.row"), "simhash-reps")
+    views = [F.shiftrightunsigned(c, 32 * half).bitwiseAND(F.lit((1 << 32) - 1)) for c in lanes[:VIEW_LANES] for half in (0, 1)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(rows: DataFrame, table: Column) -> DataFrame:
-        """The rows (node, n, part, lanes) of each table's buckets together."""
+    def dealt(rows: DataFrame, held: list[str], keep: list[int]) -> DataFrame:
+        """(t, key, w, node, n, part, lanes) with each table's buckets together; ``keep`` are the masks of a view's tables."""
+        tables = [F.struct(F.lit(i * len(keep) + j).alias("t"), v.alias("w"), F.lit(m).cast("long").alias("m")) for i, v in enumerate(views) for j, m in enumerate(keep)]
         return (
-            rows.select("node", "n", "part", *lanes, table.alias("x"))
-            .select(F.col("x.t").alias("t"), F.col("x.w").bitwiseAND(F.col("x.m")).alias("key"), F.col("x.w").alias("w"), "node", "n", "part", *look)
+            rows.select("node", "n", "part", *lanes, F.explode(F.array(*tables)).alias("x"))
+            .select(F.col("x.t").alias("t"), F.col("x.w").bitwiseAND(F.col("x.m")).alias("key"), F.col("x.w").alias("w"), "node", "n", "part", *held)
             .repartition(parts, "t", "key")
             .sortWithinPartitions("t", "key", "node")
         )
 
-    def closeness(n: np.ndarray, fps: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        own = [f.view(np.uint64) for f in fps]
+    def distance(fps: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum((np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in fps), np.zeros(len(a), np.int64))
 
-        def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            apart = sum((np.bitwise_count(f[a] ^ f[b]).astype(np.int64) for f in own), np.zeros(len(a), np.int64))
-            return (apart <= most) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+    def alike(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
 
-        return close
+    def unsigned(columns: list[np.ndarray]) -> list[np.ndarray]:
+        return [c.view(np.uint64) for c in columns]
 
     def edges(node: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for a, b in pairs:
@@ -427,35 +439,81 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, key, _, node, n, _, *fps in whole_buckets(batches):
-            leaf = np.append(False, (t[1:] != t[:-1]) | (key[1:] != key[:-1])).cumsum()
-            yield from edges(node, absorb(leaf, key, closeness(n, fps))[1])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, view, node, n, part, *fps in whole_buckets(batches):
-            for table_no in np.unique(t).tolist():
-                at = np.flatnonzero(t == table_no)
-                suffix, depth = free_bits(view[at].view(np.uint64), masks[table_no % len(masks)], VIEW_BITS)
-                bucket = np.cumsum(np.append(False, key[at][1:] != key[at][:-1]))
-                order = np.lexsort((node[at], part[at], suffix, bucket))
-                at = at[order]
-                close = closeness(n[at], [f[at] for f in fps])
-                found = pairs_between_groups(bucket[order], suffix[order], part[at], depth, VIEW_BUDGET)
-                yield from edges(node[at], ((a[ok], b[ok]) for a, b in found for ok in [close(a, b)]))
+            leaf, fps = np.append(False, (t[1:] != t[:-1]) | (key[1:] != key[:-1])).cumsum(), unsigned(fps)
+            yield from edges(node, absorb(leaf, key, lambda a, b, n=n, fps=fps: (distance(fps, a, b) <= first_look) & alike(n, a, b))[1])
+
+    def tables_of(columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """(table, columns in trie order, pairs of different parts) of each table met."""
+        t, key, view, node, n, part, *fps = columns
+        for table_no in np.unique(t).tolist():
+            at = np.flatnonzero(t == table_no)
+            suffix, depth = free_bits(view[at].view(np.uint64), masks[table_no % len(masks)], VIEW_BITS)
+            bucket = np.cumsum(np.append(False, key[at][1:] != key[at][:-1]))
+            order = np.lexsort((node[at], part[at], suffix, bucket))
+            own = [c[at][order] for c in (node, n, part, *fps)]
+            yield table_no, own, pairs_between_groups(bucket[order], suffix[order], own[2], depth, VIEW_BUDGET)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node's closest partner of another part, by the first look."""
+        for columns in whole_buckets(batches):
+            for _, (node, n, _, *fps), pairs in tables_of(columns):
+                fps, best, partner = unsigned(fps), np.full(len(node), first_look + 1), np.full(len(node), -1)
+                for a, b in pairs:
+                    ok = alike(n, a, b)
+                    a, b = a[ok], b[ok]
+                    apart = distance(fps, a, b)
+                    for x, y in ((a, b), (b, a)):
+                        order = np.lexsort((node[y], apart, x))  # ties by node, not by place
+                        lead = order[np.append(True, x[order[1:]] != x[order[:-1]])] if len(order) else order
+                        lead = lead[apart[lead] < best[x[lead]]]
+                        best[x[lead]], partner[x[lead]] = apart[lead], y[lead]
+                some = np.flatnonzero(partner >= 0)
+                if len(some):
+                    yield pa.RecordBatch.from_pydict({"u": pa.array(node[some]), "v": pa.array(node[partner[some]]), "apart": pa.array(best[some])})
+
+    def seen_before(fps: list[np.ndarray], a: np.ndarray, b: np.ndarray, table_no: int) -> np.ndarray:
+        """Which pairs an earlier table proposes too."""
+        out = np.zeros(len(a), bool)
+        for t in range(table_no):
+            view, mask = t // len(masks), masks[t % len(masks)]
+            lane = fps[view // 2]
+            differ = (lane[a] ^ lane[b]) >> np.uint64(32 * (view % 2)) & np.uint64((1 << 32) - 1)
+            out |= (differ & np.uint64(mask) == 0) & (np.bitwise_count(differ) <= VIEW_BUDGET)
+        return out
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each pair of different parts that passes the full look, from the first table that proposes it."""
+        for columns in whole_buckets(batches):
+            for table_no, (node, n, _, *fps), pairs in tables_of(columns):
+                fps = unsigned(fps)
+
+                def kept(a: np.ndarray, b: np.ndarray, n=n, fps=fps, table_no=table_no) -> tuple[np.ndarray, np.ndarray]:
+                    for test in (lambda a, b: alike(n, a, b), lambda a, b: distance(fps[:LOOK_LANES], a, b) <= first_look, lambda a, b: distance(fps, a, b) <= full_look, lambda a, b: ~seen_before(fps, a, b, table_no)):
+                        ok = test(a, b)
+                        a, b = a[ok], b[ok]
+                    return a, b
+
+                yield from edges(node, (kept(a, b) for a, b in pairs))
 
     def with_parts(links: DataFrame) -> DataFrame:
         return reps.join(connected_components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
 
-    # first stars among equal views, then every pair of two parts that are still apart: what
-    # is left out is linked already, so the parts do not depend on who leads a star
-    whole = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), v.alias("w"), F.lit((1 << 32) - 1).alias("m")) for i, v in enumerate(views)]))
-    near = materialise(verified(dealt(reps.withColumn("part", F.lit(0).cast("long")), whole).mapInArrow(stars, "u long, v long"), reps, source, words, similarity, seed), "simhash-stars")
-    apart = materialise(with_parts(near), "simhash-parts")
-    linked = verified(dealt(apart, table).mapInArrow(join, "u long, v long"), reps, source, words, similarity, seed)
-    roots = connected_components(near.unionAll(linked))
-    rooted = reps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = rooted.join(least, "root").select("node", "component_id")
-    return marked.join(by_node, "node", "left").select("doc_id", "component_id")
+    look = lanes[:LOOK_LANES]
+    whole = [(1 << VIEW_BITS) - 1]
+    starred = dealt(reps.withColumn("part", F.lit(0).cast("long")), look, whole).mapInArrow(stars, "u long, v long")
+    made = materialise(verified(starred, reps, source, words, similarity, seed), "simhash-stars")
+    apart = materialise(with_parts(made), "simhash-parts")
+    proposed = dealt(apart, look, masks).mapInArrow(nearest, "u long, v long, apart long")
+    partner = materialise(proposed.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", F.col("x.v").alias("v")), "simhash-nearest")
+    made = materialise(made.unionAll(verified(partner, reps, source, words, similarity, seed)), "simhash-near")
+    # a node without a proposed partner in another part has none in the last round either
+    open_ = materialise(with_parts(made).join(partner.select(F.col("u").alias("node")), "node", "left_semi"), "simhash-open")
+    linked = verified(dealt(open_, lanes, masks).mapInArrow(every, "u long, v long"), reps, source, words, similarity, seed)
+    roots = connected_components(made.unionAll(linked))
+    rooted = reps.join(roots, "node", "left").select("high", "low", "n", F.coalesce("root", "node").alias("class"), "doc_id")
+    ids = rooted.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    by_set = rooted.join(ids, "class").select("high", "low", "n", "class", "component_id")
+    return marked.select("doc_id", "row", "high", "low", "n").join(by_set, ["high", "low", "n"], "left").select("doc_id", "row", "class", "component_id")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, budget: int = BUDGET, n_blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -468,6 +526,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows (all columns) whose id is the smallest of their component of similar documents."""
-    dropped = similar_components(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id"))
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped_id"), "left_anti")
+    """One row (all columns) of each component of similar documents: the smallest id, then the smallest text key."""
+    classes = similar_components(docs, id_col, text_col, **options).withColumnRenamed("component_id", "keep_id")
+    return row_keys.keep_least(docs, classes, id_col, text_col)

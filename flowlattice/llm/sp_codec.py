@@ -17,6 +17,8 @@ one by one.
 Decoding joins pieces and bytes and drops the one space put in front.  A literal
 space mark (U+2581) is written as bytes, so every text comes back unchanged.
 
+A model whose own normaliser would change texts is refused.
+
 A null text has null ids and decodes to null; an empty text has no ids.
 Repeated rows are encoded each, with equal ids.  A null id counts as id 0 in the
 hash.  An empty table gives no rows.  Extra columns are not read.
@@ -32,13 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowlattice.llm.textkernel import TextBlock, mix, powers, ranges, text_blocks
+from flowlattice.llm.textkernel import TextBlock, intern, mix, ranges, text_blocks
 
 MARK = 0x2581
 _LITERAL = 0x110000
 _NEVER = np.int64(1 << 62)
 _LONG = 48
-_BASE = 0xD1342543DE82EF95
 
 
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
@@ -72,6 +73,8 @@ class Codec:
         self.pieces: list[str] = []
         scores, kinds = [], []
         for number, value in read_fields(model):
+            if number == 3:
+                self._check_normaliser(dict(read_fields(value)))
             if number != 1:
                 continue
             piece = {1: b"", 2: b"\0\0\0\0", 3: 1} | dict(read_fields(value))
@@ -106,6 +109,13 @@ class Codec:
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
         self.piece_bytes = np.frombuffer(b"".join(data), np.uint8)
 
+    @staticmethod
+    def _check_normaliser(spec: dict[int, int | bytes]) -> None:
+        """Raise unless texts go in unchanged behind one dummy space, the only setting that is lossless."""
+        # fixed numbers of the format: 2 character map, 3 dummy prefix, 4 drop extra spaces, 5 spaces as marks
+        if spec.get(2) or not spec.get(3, 1) or spec.get(4, 1) or not spec.get(5, 1):
+            raise ValueError("the model's normaliser changes texts")
+
     def _slot(self, key: int) -> int:
         return (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40 & (len(self.table_key) - 1)
 
@@ -128,7 +138,7 @@ class Codec:
     def segment_heap(self, symbols: list[int], key: int, bar: int) -> list[int]:
         """Agenda over one chunk: symbol ids to piece ids."""
         n = len(symbols)
-        symbol, start = list(symbols), list(range(n + 1))
+        symbol = list(symbols)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         agenda: list[tuple[int, int, int, int, int, int]] = []
         stamp = [0] * n
@@ -140,9 +150,6 @@ class Codec:
             found = self.pairs.get(symbol[a] << 20 | symbol[b])
             if found is None:
                 return
-            end = start[after[b]] if after[b] < n else n
-            if bar and int(_candidate_hash(np.array([key], np.uint64), np.array([a]), np.array([b]), np.array([end]))[0]) < bar:
-                return
             heapq.heappush(agenda, (found[0], a, b, stamp[a], stamp[b], found[1]))
 
         for a in range(n):
@@ -151,6 +158,9 @@ class Codec:
             _, a, b, sa, sb, merged = heapq.heappop(agenda)
             if not (alive[a] and alive[b]) or after[a] != b or stamp[a] != sa or stamp[b] != sb:
                 continue
+            end = after[b]
+            if bar and int(_candidate_hash(np.array([key], np.uint64), np.array([a]), np.array([b]), np.array([end]))[0]) < bar:
+                continue  # skipped for good: no other candidate has these borders
             symbol[a], alive[b], after[a] = merged, False, after[b]
             stamp[a] += 1
             if after[b] < n:
@@ -215,8 +225,8 @@ class Codec:
         keep = np.arange(n)[None] < size[:, None]
         return out[keep], size
 
-    def encode_block(self, block: TextBlock, doc_keys: np.ndarray, seed: int, dropout: float, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents, number of ids of each); with ``variants``, a chunk has at most so many segmentations."""
+    def encode_block(self, block: TextBlock, doc_keys: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, number of ids of each)."""
         bar = min(int(dropout * 2.0**64), (1 << 64) - 1)
         points = np.frombuffer(block.buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = block.per_doc(block.lead)
@@ -236,20 +246,16 @@ class Codec:
         start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(symbol)))
         ordinal = np.arange(len(start)) - np.searchsorted(start, begin)[doc[start]]
-        inside = np.arange(len(symbol)) - np.repeat(start, length)
-        values = mix(whole.astype(np.uint64)) * powers(_BASE, int(length.max()))[inside]
-        chunk = mix(np.add.reduceat(values, start) + length.astype(np.uint64))
         place = mix(mix(doc_keys[doc[start]] + np.uint64(seed)) + ordinal.astype(np.uint64))
-        if bar and variants is not None:
-            chunk = mix(chunk + place % np.uint64(variants) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        _, first, inverse = np.unique(chunk, return_index=True, return_inverse=True)
-        if not bar or variants is not None:
-            ids, counts = self._segment(whole, symbol, start[first], length[first], chunk[first], bar)
+        inverse = intern(whole.astype(np.int32).view(np.uint8), 4 * length)[1]
+        first = np.unique(inverse, return_index=True)[1]
+        if not bar:
+            ids, counts = self._segment(whole, symbol, start[first], length[first], place[first], 0)
         else:
             met: list[tuple[np.ndarray, ...]] = []
             plain = length[first] <= _LONG
             base = np.cumsum(plain) - 1
-            ids, counts = self._segment(whole, symbol, start[first[plain]], length[first[plain]], chunk[first[plain]], 0, met)
+            ids, counts = self._segment(whole, symbol, start[first[plain]], length[first[plain]], place[first[plain]], 0, met)
             own = self._skips(inverse, np.flatnonzero(plain), len(first), place, met, bar) | ~plain[inverse]
             more, n_more = self._segment(whole, symbol, start[own], length[own], place[own], bar)
             inverse = np.where(own, int(plain.sum()) + np.cumsum(own) - 1, base[inverse])

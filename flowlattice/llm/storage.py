@@ -2,7 +2,12 @@
 
 Intermediates are Parquet directories below ``spark.checkpoint.dir``: they cut
 lineage, survive lost executors and are visible to every executor.  A folder of
-our own is made only where that setting is absent (local tests).
+our own is made only by a local master without that setting (tests); a cluster
+without it is an error.
+
+Every intermediate is deleted when the application ends.  A caller who knows
+when a result has been written can collect the paths made for it with
+:func:`collecting` and delete them earlier.
 """
 
 from __future__ import annotations
@@ -11,33 +16,64 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_created: list[str] = []
-_local_default: dict[str, str] = {}
+_collector: ContextVar[list[str] | None] = ContextVar("paths made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local folder only if none is configured."""
+    """The cluster's checkpoint folder; a temporary one for a local master without that setting."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        app = spark.sparkContext.applicationId
-        if app not in _local_default:
-            _local_default[app] = "file://" + tempfile.mkdtemp(prefix="flowlattice-")
-        configured = _local_default[app]
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = "file://" + tempfile.mkdtemp(prefix="flowlattice-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+        _delete_on_exit(spark, configured)
     return configured.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    hadoop, files = _path(spark, path)
+    files.mkdirs(hadoop.getParent())
+    files.mkdirs(hadoop)  # only existing paths are remembered
+    files.deleteOnExit(hadoop)
+
+
 def new_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
-    """A fresh path in the shared folder, remembered for :func:`release` unless it is to last."""
-    path = f"{shared_dir(spark)}/flowlattice/{label}-{uuid.uuid4().hex}"
-    if not lasting:
-        _created.append(path)
+    """A fresh path in the shared folder; unless it is to last, it goes when the application ends."""
+    root = f"{shared_dir(spark)}/flowlattice"
+    name = f"{label}-{uuid.uuid4().hex}"
+    if lasting:
+        return f"{root}/{name}"
+    session = f"{root}/{spark.sparkContext.applicationId}"
+    _delete_on_exit(spark, session)
+    path = f"{session}/{name}"
+    held = _collector.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that are made inside the block, by this thread or task alone."""
+    paths: list[str] = []
+    token = _collector.set(paths)
+    try:
+        yield paths
+    finally:
+        _collector.reset(token)
+
+
 @contextmanager
 def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
     """Let Spark delete a job's shuffle files once its action has ended."""
@@ -63,21 +99,5 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path through Hadoop's file system API."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def mark() -> int:
-    """A position in the list of created paths, for :func:`release`."""
-    return len(_created)
-
-
-def release(spark: SparkSession, start: int = 0, end: int | None = None) -> None:
-    """Delete the intermediates created between two marks.
-
-    Only for callers that know every result derived from them has been written.
-    """
-    for i in range(start, len(_created) if end is None else end):
-        if _created[i]:
-            delete(spark, _created[i])
-            _created[i] = ""
+    hadoop, files = _path(spark, path)
+    files.delete(hadoop, True)

@@ -1,26 +1,29 @@
-"""Substring deduplication by one doubling of seed windows.
+"""Substring deduplication by level-wise doubling.
 
 A window is ``min_words`` consecutive words of one document; it is a repeat if
-its word sequence also starts in a document with a smaller id.  The first level
-looks at windows of half that length.  Of any ``min_words`` words the half
-window with the least hash is its seed, so two equal windows have equal seeds,
-and only seeds, not all positions, are exchanged.  Only windows whose seed was
-found in two documents are extended to ``min_words`` and exchanged.  This is one
-step from ``min_words // 2``, whatever the target: there are no further levels.
-
-At the target length every candidate goes to an aggregation that keeps the
-smallest document of each word sequence (partial aggregates first, so a passage
-that a third of all documents share costs a row per task).  A document is told
-which candidates it owns; its other candidates are the repeats.
+its word sequence also starts in a document with a smaller id.  Levels double a
+window length up to ``min_words`` (13, 25 and 50 words for 50; halves are rounded
+up, so the last doubling overlaps).  At each level only windows of that length
+that stand in two documents survive, and the next level looks at the windows of
+twice the length around survivors alone; the loop ends when none survive.
+
+Of the shorter windows inside a ``min_words`` window the one with the least hash
+is its seed at that level.  Equal windows have equal seeds, so a level exchanges
+seeds, not positions, and loses no repeat.  At the target length the survivors
+themselves go to an aggregation that keeps the smallest document of each word
+sequence (partial aggregates first, so a passage that a third of all documents
+share costs a row per task).  A document is told which survivors it owns; its
+others are the repeats.
 
 Documents with the same word sequence are collapsed before the first exchange:
-the smallest id stands for them, the others repeat it wholly.  Window hashes
-have 128 bits at the target level.
+the smallest id stands for them, the others repeat it wholly.  Words and word
+sequences are told apart by keyed 128-bit digests, windows by 128-bit hashes
+joined from them; seeds of 64 bits only propose.
 
 Nulls and empty texts have no words.  Rows with a null id are never owners and
-keep their words.  Rows that repeat one doc_id are one document to every rule,
-each keeps its own text.  An empty table gives no rows.  Extra columns are not
-read.
+keep their words.  Rows that share a doc_id are judged each by its own text,
+against documents with a smaller id.  An empty table gives no rows.  Extra
+columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -30,16 +33,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.llm import rows as row_keys
 from flowlattice.llm.storage import materialise
-from flowlattice.llm.textkernel import TextBlock, mix, ranges, text_blocks, window_hash
+from flowlattice.llm.textkernel import Lanes, TextBlock, mix, ranges, text_blocks, window_lanes
 
 MIN_WORDS = 50
-_SEED_BASE = 0xA24BAED4963EE407
-_HIGH_BASE = 0x9FB21C651E98DF25
-_LOW_BASE = 0xD6E8FEB86659FD93
+FIRST_WORDS = 12
+
+
+def level_sizes(min_words: int, first_words: int = FIRST_WORDS) -> list[int]:
+    """Window lengths of the levels before the target: halves, rounded up, of at least ``first_words``."""
+    sizes = [-(-min_words // 2)]
+    while -(-sizes[0] // 2) >= first_words:
+        sizes.insert(0, -(-sizes[0] // 2))
+    return sizes
 
 
 def seed_positions(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -57,150 +69,171 @@ def seed_positions(hashes: np.ndarray, span: int) -> np.ndarray:
     return np.where(hashes[right] < hashes[left], right, left)
 
 
-def seeds_of(block: TextBlock, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each window, its seed's first word, seed hash per word)."""
-    half = min_words // 2
-    hashes = window_hash(block.word_hash, half, _SEED_BASE)
-    span = min_words - half + 1
-    seed = seed_positions(hashes, span)
-    first = np.arange(len(seed))
-    inside = block.doc_of_word[first] == block.doc_of_word[first + min_words - 1] if len(seed) else np.empty(0, bool)
-    return first[inside], seed[inside], hashes
-
-
-def target_hashes(block: TextBlock, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of hash for the windows that start at the given words."""
-    if not len(first):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return window_hash(block.word_hash, size, _HIGH_BASE)[first], window_hash(block.word_hash, size, _LOW_BASE)[first]
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
+def target_windows(block: TextBlock, min_words: int) -> np.ndarray:
+    """First words of the target windows that lie inside one document."""
+    n = len(block.starts) - min_words + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    return np.flatnonzero(block.doc_of_word[:n] == block.doc_of_word[min_words - 1 :])
 
 
-def _binary(values: list[np.ndarray]) -> pa.Array:
-    return pa.array([v.tobytes() for v in values], pa.binary())
+def seeds_of(hashes: np.ndarray, first: np.ndarray, size: int, min_words: int) -> np.ndarray:
+    """The seed's first word of each target window, from the hashes of all windows of ``size`` words."""
+    return seed_positions(hashes, min_words - size + 1)[first] if len(first) else first
 
 
 def sketch(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, content, n_words, seeds): a digest of the word sequence and the distinct seed hashes."""
+    """(key, doc_id, row, content, seeds): per row with a window, a digest of its words and its runs of seeds.
+
+    ``seeds`` packs one 64-bit seed per level for each run of windows that share them.
+    """
+    sizes = level_sizes(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
-                first, seed, hashes = seeds_of(block, min_words)
-                chosen = np.unique(seed)
-                owner = block.doc_of_word[chosen]
-                cut = np.searchsorted(owner, np.arange(block.n + 1))
-                packed, digests = [], []
-                raw, at = np.ascontiguousarray(block.word_hash).view(np.uint8), block.word_offsets * 8
-                for k in range(block.n):
-                    packed.append(np.unique(hashes[chosen[cut[k] : cut[k + 1]]]))
-                    digests.append(hashlib.blake2b(raw[at[k] : at[k + 1]], digest_size=16).digest())
+                first = target_windows(block, min_words)
+                lanes = window_lanes(block.word_lanes, sizes)
+                chosen = [seeds_of(high, first, size, min_words) for (high, _), size in zip(lanes, sizes, strict=True)]
+                doc = block.doc_of_word[first]
+                turn = np.ones(len(first), bool)
+                if len(first):
+                    turn[1:] = np.any([c[1:] != c[:-1] for c in [doc, *chosen]], axis=0)
+                runs = np.stack([high[c[turn]] for (high, _), c in zip(lanes, chosen, strict=True)], axis=1)
+                cut = np.searchsorted(doc[turn], np.arange(block.n + 1))
+                packed = runs.astype("<u8").tobytes()
+                width = 8 * len(sizes)
+                words = np.stack(block.word_lanes, axis=1).astype("<u8").tobytes()
+                at = (block.word_offsets * 16).tolist()
+                some = np.flatnonzero(block.n_words >= min_words)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": rows.column(0),
-                    "content": pa.array(digests, pa.binary()),
-                    "n_words": pa.array(block.n_words),
-                    "seeds": _binary(packed),
+                    "key": pa.array(key + some),
+                    "doc_id": rows.column(0).take(pa.array(some)),
+                    "row": rows.column(1).take(pa.array(some)),
+                    "content": pa.array([hashlib.blake2b(words[at[k] : at[k + 1]], digest_size=16).digest() for k in some.tolist()], pa.binary()),
+                    "seeds": pa.array([packed[cut[k] * width : cut[k + 1] * width] for k in some.tolist()], pa.binary()),
                 })
+                key += block.n
 
-    return docs.mapInArrow(run, "doc_id long, content binary, n_words long, seeds binary")
+    return docs.mapInArrow(run, "key long, doc_id long, row binary, content binary, seeds binary")
 
 
-def _unpack(df: DataFrame, packed: str, name: str) -> DataFrame:
-    """(doc_id, value) for each 8-byte value of a packed column."""
+def _unpack(df: DataFrame, n_levels: int, levels: list[int]) -> DataFrame:
+    """(key, doc_id, s<level>...) for each run of packed seeds."""
+    names = [f"s{k}" for k in levels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            sizes = np.array([len(p) // 8 for p in packs], np.int64)
-            values = np.frombuffer(b"".join(packs), np.int64)
-            repeated = np.repeat(ids, sizes)
-            for at in range(0, len(values), 200_000):
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(repeated[at : at + 200_000]), name: pa.array(values[at : at + 200_000])})
-
-    return df.select("doc_id", packed).mapInArrow(run, f"doc_id long, {name} long")
-
-
-def _pack_per_doc(df: DataFrame, value: str, name: str) -> DataFrame:
-    """One row per doc_id with its values packed; a document's values are bounded by its words."""
-    return df.groupBy("doc_id").agg(F.collect_list(value).alias(name))
-
-
-def _candidates(block: TextBlock, alive: list, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, document) of the windows whose seed is among their document's live seeds."""
-    first, seed, hashes = seeds_of(block, min_words)
-    if not len(first):
-        return first, first
-    doc = block.doc_of_word[first]
-    sizes = np.array([0 if a is None else len(a) for a in alive], np.int64)
-    if not sizes.sum():
-        return first[:0], doc[:0]
-    values = np.concatenate([np.asarray(a, np.int64) for a in alive if a is not None and len(a)]).view(np.uint64)
+            packs = batch.column(2).to_pylist()
+            sizes = np.array([len(p) // (8 * n_levels) for p in packs], np.int64)
+            values = np.frombuffer(b"".join(packs), np.int64).reshape(-1, n_levels)
+            at = np.repeat(np.arange(len(packs)), sizes)
+            for a in range(0, len(at), 200_000):
+                part = pa.array(at[a : a + 200_000])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(part), batch.column(1).take(part), *(pa.array(np.ascontiguousarray(values[a : a + 200_000, k])) for k in levels)], names=["key", "doc_id", *names]
+                )
+
+    return df.select("key", "doc_id", "seeds").mapInArrow(run, "key long, doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, number of values per row) of a list column; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes
+
+
+def _survivors(block: TextBlock, alive: pa.Array, min_words: int) -> tuple[np.ndarray, Lanes]:
+    """(first words, 128-bit hashes) of the target windows whose last seed is among their document's live seeds."""
+    size = level_sizes(min_words)[-1]
+    first = target_windows(block, min_words)
+    values, sizes = _lists(alive)
+    if not len(first) or not len(values):
+        return first[:0], (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    (half, _), (high, low) = window_lanes(block.word_lanes, [size, min_words])
+    seed = half[seeds_of(half, first, size, min_words)]
     owner = np.repeat(np.arange(block.n), sizes).astype(np.uint64)
-    salt = np.uint64(0x8CB92BA72F3D8DD7)
-    live = np.isin(mix(hashes[seed] + doc.astype(np.uint64) * salt), mix(values + owner * salt))
-    return first[live], doc[live]
-
-
-def removed_words(block: TextBlock, alive: list, owned: list, min_words: int) -> np.ndarray:
-    """Mask of the words covered by candidate windows that the document does not own."""
-    first, doc = _candidates(block, alive, min_words)
-    high, _ = target_hashes(block, first, min_words)
-    own = _candidates_owned(high, doc, owned, block.n)
+    salt = np.uint64(0x8CB92BA72F3D8DD7)  # proposes only: a clash lets one more window through
+    doc = block.doc_of_word[first].astype(np.uint64)
+    first = first[np.isin(mix(seed + mix(doc + salt)), mix(values + mix(owner + salt)))]
+    return first, (high[first], low[first])
+
+
+def _owned(doc: np.ndarray, lanes: Lanes, owned: pa.Array, n: int) -> np.ndarray:
+    """Which windows are among the (high, low) pairs that their document owns."""
+    values, sizes = _lists(owned)
+    out = np.zeros(len(doc), bool)
+    if not len(values) or not len(doc):
+        return out
+    who = np.repeat(np.arange(n), sizes // 2)
+    keys = [np.concatenate([doc, who]), np.concatenate([lanes[0], values[0::2]]), np.concatenate([lanes[1], values[1::2]])]
+    order = np.lexsort(keys[::-1])
+    ranked = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in ranked], axis=0)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    return np.isin(group[: len(doc)], group[len(doc) :])
+
+
+def removed_words(block: TextBlock, alive: pa.Array, owned: pa.Array, whole: pa.Array, min_words: int) -> np.ndarray:
+    """Mask of the words to remove: those under windows that survive and are not owned, and all of whole copies."""
+    first, lanes = _survivors(block, alive, min_words)
+    gone = first[~_owned(block.doc_of_word[first], lanes, owned, block.n)]
     change = np.zeros(len(block.starts) + 1, np.int64)
-    np.add.at(change, first[~own], 1)
-    np.add.at(change, np.minimum(first[~own] + min_words, len(block.starts)), -1)
-    return np.cumsum(change[:-1]) > 0
+    np.add.at(change, gone, 1)
+    np.add.at(change, gone + min_words, -1)
+    entire = pc.fill_null(whole, False).to_numpy(zero_copy_only=False).astype(bool)
+    return (np.cumsum(change[:-1]) > 0) | entire[block.doc_of_word]
 
 
-def _candidates_owned(high: np.ndarray, doc: np.ndarray, owned: list, n: int) -> np.ndarray:
-    sizes = np.array([0 if a is None else len(a) for a in owned], np.int64)
-    if not sizes.sum() or not len(high):
-        return np.zeros(len(high), bool)
-    values = np.concatenate([np.asarray(a, np.int64) for a in owned if a is not None and len(a)]).view(np.uint64)
-    owner = np.repeat(np.arange(n), sizes).astype(np.uint64)
-    salt = np.uint64(0xB5297A4D3F84D5B5)
-    return np.isin(mix(high + doc.astype(np.uint64) * salt), mix(values + owner * salt))
+def _shared(seeds: DataFrame, name: str) -> DataFrame:
+    """The seeds that stand in documents of two ids."""
+    return seeds.groupBy(name).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(name)
 
 
 def marks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, alive, owned, whole): what a document needs to find its repeats again.
+    """(doc_id, row, alive, owned, whole): what a row of (doc_id, row, text) needs to find its repeats again.
 
-    ``alive`` are its seeds found in other documents too, ``owned`` the target
-    windows that start in no smaller document, ``whole`` marks a document whose
-    word sequence a smaller document has entirely.  Documents without any are absent.
+    ``alive`` are its last seeds found under two ids, ``owned`` the target windows
+    that start under no smaller id, ``whole`` marks a row whose word sequence a
+    smaller id has entirely.  Rows without any are absent.
     """
-    sketched = materialise(sketch(docs, min_words).where(f"n_words >= {min_words} AND doc_id IS NOT NULL"), "substring-sketch")
-    first_of = sketched.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    sizes = level_sizes(min_words)
+    sketched = materialise(sketch(docs.where("doc_id IS NOT NULL"), min_words), "substring-sketch")
+    # written first, so that the join below may split a content that very many rows have
+    first_of = materialise(sketched.groupBy("content").agg(F.min(F.struct("doc_id", "key")).alias("least")), "substring-contents")
     ranked = sketched.join(first_of, "content")
-    whole = ranked.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("rep")).alias("w")).where("w").select("doc_id")
-    seeds = _unpack(ranked.where("doc_id = rep"), "seeds", "seed").distinct()
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
-    alive = materialise(_pack_per_doc(seeds.join(shared, "seed"), "seed", "alive"), "substring-alive")
+    rows = materialise(ranked.select("doc_id", "row", F.col("least.doc_id").alias("least_id"), F.col("least.key").alias("key")).distinct(), "substring-rows")
+    reps = materialise(ranked.where("key = least.key").select("key", "doc_id", "row", "seeds"), "substring-reps")
+    seeds = _unpack(reps, len(sizes), list(range(len(sizes))))
+    counted = _unpack(reps, len(sizes), [0])
+    for level in range(len(sizes)):
+        later = [f"s{k}" for k in range(level + 1, len(sizes))]
+        left = seeds.join(_shared(counted, f"s{level}"), f"s{level}", "left_semi")
+        seeds = materialise(left.select("key", "doc_id", *(later or [f"s{level}"])).distinct(), f"substring-level{sizes[level]}")
+        counted = seeds
+        if seeds.isEmpty():
+            break
+    alive = materialise(seeds.groupBy("key").agg(F.collect_list(seeds.columns[-1]).alias("alive")), "substring-alive")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, block in text_blocks(batch, "text"):
-                first, doc = _candidates(block, rows.column(2).to_pylist(), min_words)
-                high, low = target_hashes(block, first, min_words)
-                ids = rows.column(0).to_numpy(zero_copy_only=False)[doc]
+            for part, block in text_blocks(batch, "text"):
+                first, (high, low) = _survivors(block, part.column(2), min_words)
+                ids = part.column(0).take(pa.array(block.doc_of_word[first]))
                 for at in range(0, len(first), 100_000):
                     s = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_pydict({"high": pa.array(high[s].view(np.int64)), "low": pa.array(low[s].view(np.int64)), "doc_id": pa.array(ids[s], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"high": pa.array(high[s].view(np.int64)), "low": pa.array(low[s].view(np.int64)), "doc_id": ids[s]})
 
-    windows = docs.join(alive, "doc_id").select("doc_id", "text", "alive").mapInArrow(extend, "high long, low long, doc_id long")
+    asked = reps.select("key", "doc_id", "row").join(alive, "key").drop("key")
+    windows = docs.join(asked, ["doc_id", "row"]).select("doc_id", "text", "alive").mapInArrow(extend, "high long, low long, doc_id long")
     owners = windows.groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"))
-    owned = materialise(_pack_per_doc(owners, "high", "owned"), "substring-owned")
-    found = alive.join(owned, "doc_id", "left").withColumn("whole", F.lit(False))
-    return found.join(whole, "doc_id", "left_anti").unionByName(
-        whole.select("doc_id", F.lit(None).cast("array<long>").alias("alive"), F.lit(None).cast("array<long>").alias("owned"), F.lit(True).alias("whole"))
-    )
-
-
-def _kept_spans(block: TextBlock, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return block.starts[~gone], block.ends[~gone]
+    owned = materialise(owners.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("high", "low"))).alias("owned")), "substring-owned")
+    found = rows.where("doc_id = least_id").join(alive, "key").join(owned, "doc_id", "left").select("doc_id", "row", "alive", "owned", F.lit(False).alias("whole"))
+    none = F.lit(None).cast("array<long>")
+    return found.unionByName(rows.where("doc_id > least_id").select("doc_id", "row", none.alias("alive"), none.alias("owned"), F.lit(True).alias("whole")))
 
 
 def _cut(block: TextBlock, gone: np.ndarray, keep_layout: bool) -> list[bytes]:
@@ -220,7 +253,7 @@ def _cut(block: TextBlock, gone: np.ndarray, keep_layout: bool) -> list[bytes]:
         bounds = np.concatenate([[0], np.cumsum(block.per_doc(np.cumsum(drop[:-1]) == 0))])
         raw = kept.tobytes()
         return [raw[bounds[k] : bounds[k + 1]] for k in range(block.n)]
-    starts, ends = _kept_spans(block, gone)
+    starts, ends = block.starts[~gone], block.ends[~gone]
     lengths = ends - starts
     stop = np.cumsum(lengths + 1)
     joined = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
@@ -234,21 +267,15 @@ def _cut(block: TextBlock, gone: np.ndarray, keep_layout: bool) -> list[bytes]:
     return out
 
 
-def _gone(block: TextBlock, alive: list, owned: list, whole: list, min_words: int) -> np.ndarray:
-    gone = removed_words(block, alive, owned, min_words)
-    entire = np.array([bool(w) for w in whole], bool)
-    return gone | entire[block.doc_of_word]
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the kept words of every document joined by one space."""
-    source = _texts(docs, id_col, text_col)
+    """(doc_id, n_words, n_removed, kept): the kept words of every row joined by one space."""
+    source = row_keys.keyed(docs, id_col, text_col)
     found = marks(source, min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
-                gone = _gone(block, *(rows.column(i).to_pylist() for i in (2, 3, 4)), min_words)
+                gone = removed_words(block, *rows.columns[2:], min_words)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": rows.column(0),
                     "n_words": pa.array(block.n_words),
@@ -256,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     "kept": pa.array(_cut(block, gone, False), pa.binary()).cast(pa.string()),
                 })
 
-    joined = source.join(found, "doc_id", "left").select("doc_id", "text", "alive", "owned", "whole")
+    joined = source.join(found, ["doc_id", "row"], "left").select("doc_id", "text", "alive", "owned", "whole")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -266,26 +293,29 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The layout of what stays is kept; ``size_col``, if present, is the new length
     in characters.  Documents that lose all their words stay, with an empty text.
     """
-    found = marks(_texts(docs, id_col, text_col), min_words)
+    found = marks(row_keys.keyed(docs, id_col, text_col), min_words)
     names = docs.columns
-    hidden = found.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "alive", "owned", "whole")])
+    text_at = names.index(text_col)
+    own_row, *hidden = (row_keys.fresh(c, names) for c in ("row", "mark_id", "mark_row", "mark_alive", "mark_owned", "mark_whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, block in text_blocks(batch, text_col):
-                n = len(names)
-                gone = _gone(block, *(rows.column(n + i).to_pylist() for i in (1, 2, 3)), min_words)
-                out = {name: rows.column(i) for i, name in enumerate(names)}
+            numbered = batch.rename_columns([str(i) for i in range(batch.num_columns)])
+            for rows, block in text_blocks(numbered, str(text_at)):
+                gone = removed_words(block, *rows.columns[-3:], min_words)
+                out = rows.columns[: len(names)]
                 touched = block.per_doc_words(gone) > 0
                 if touched.any():
                     cut = _cut(block, gone, True)
-                    old = out[text_col].to_pylist()
-                    out[text_col] = pa.array([c.decode() if t else o for t, c, o in zip(touched, cut, old, strict=True)], pa.string())
-                    if size_col in out:
-                        sizes = out[size_col].to_pylist()
-                        fresh = [len(c) if t else s for t, c, s in zip(touched, out[text_col].to_pylist(), sizes, strict=True)]
-                        out[size_col] = pa.array(fresh, rows.schema.field(names.index(size_col)).type)
-                yield pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
-
-    joined = docs.join(hidden, F.col(id_col) == F.col("__doc_id"), "left")
+                    texts = [c.decode() if t else o for t, c, o in zip(touched, cut, out[text_at].to_pylist(), strict=True)]
+                    out[text_at] = pa.array(texts, out[text_at].type)
+                    if size_col in names:
+                        at = names.index(size_col)
+                        sizes = [len(c) if t else s for t, c, s in zip(touched, texts, out[at].to_pylist(), strict=True)]
+                        out[at] = pa.array(sizes, out[at].type)
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    own = docs.withColumn(own_row, row_keys.text_key(F.col(f"`{text_col}`")))
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(hidden[0])) & (F.col(own_row) == F.col(hidden[1]))
+    joined = own.join(found.toDF(*hidden), same, "left").select(*[F.col(f"`{c}`") for c in names], *hidden[2:])
     return joined.mapInArrow(run, docs.schema)

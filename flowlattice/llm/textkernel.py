@@ -3,13 +3,18 @@
 A :class:`TextBlock` is a bounded slice of documents as one UTF-8 byte buffer.
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; in UTF-8 these
 ASCII bytes never occur inside another character, so byte spans are exact.
-Hashes are 64-bit polynomials over a random byte table with a non-linear
-finaliser; callers that need more than 64 bits take two of them.
+
+Inside a block words and lines are told apart by their whole content: Arrow's
+dictionary encoding gives each distinct value a number.  Across blocks and tasks
+a word is its keyed 128-bit BLAKE2b digest, taken once per distinct word of a
+block, and a window is joined from shorter ones by a non-linear mixer on both
+64-bit lanes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -20,22 +25,9 @@ BLOCK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_P = 0x9E3779B97F4A7C55
-_CHUNK_BITS = 12
-_CHUNK = 1 << _CHUNK_BITS
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = powers(_P, _CHUNK)
-_POW_HIGH = powers(pow(_P, _CHUNK, 1 << 64), _CHUNK)
+_KEY = b"flowlattice word"
+_LEFT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_RIGHT = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,28 +58,52 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span buf[start:end]."""
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    index = ranges(starts, lengths)
-    inside = np.arange(len(index), dtype=np.int64) - np.repeat(first, lengths)
-    values = _BYTE[buf[index]] * _POW[inside & (_CHUNK - 1)]
-    if len(inside) and int(lengths.max()) > _CHUNK:
-        values *= _POW_HIGH[(inside >> _CHUNK_BITS) & (_CHUNK - 1)]
-    sums = segment_sum(values, np.append(first, len(index)))
-    return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def window_hash(word_hash: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Hash of every run of ``size`` consecutive entries (across documents too)."""
-    n = len(word_hash)
-    if n < size:
-        return np.empty(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(word_hash * powers(base, n), out=total[1:])
-    back = powers(pow(base, -1, 1 << 64), n)
-    return mix((total[size:] - total[:-size]) * back[: n - size + 1])
+def intern(data: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(distinct values, number of each value) of byte strings that stand one after another in ``data``.
+
+    The encoder compares whole values, so two strings share a number only if they are equal.
+    """
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def digests(values: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two 64-bit halves of each value's keyed 128-bit digest."""
+    raw = b"".join([hashlib.blake2b(v, digest_size=16, key=_KEY).digest() for v in values])
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+Lanes = tuple[np.ndarray, np.ndarray]
+
+
+def joined(left: Lanes, right: Lanes) -> Lanes:
+    """Hashes of two neighbouring (or overlapping) windows taken together, lane by lane."""
+    high, low = (mix(mix(a ^ _LEFT[i]) + b * _RIGHT[i]) for i, (a, b) in enumerate(zip(left, right, strict=True)))
+    return high, low
+
+
+def window_lanes(word_lanes: Lanes, sizes: Sequence[int]) -> list[Lanes]:
+    """For each size (ascending), the 128-bit hash of every run of so many words (across documents too).
+
+    A window of 2n words is two windows of n; other sizes are two that overlap.
+    """
+    out, whole, width = [], word_lanes, 1
+    for size in sizes:
+        while 2 * width <= size:
+            whole = joined((whole[0][:-width], whole[1][:-width]), (whole[0][width:], whole[1][width:])) if len(whole[0]) > width else (whole[0][:0], whole[1][:0])
+            width *= 2
+        rest = size - width
+        if not rest:
+            out.append(whole)
+        elif len(whole[0]) > rest:
+            out.append(joined((whole[0][:-rest], whole[1][:-rest]), (whole[0][rest:], whole[1][rest:])))
+        else:
+            out.append((whole[0][:0], whole[1][:0]))
+    return out
 
 
 class TextBlock:
@@ -142,8 +158,24 @@ class TextBlock:
         return np.repeat(np.arange(self.n), self.n_words)
 
     @cached_property
-    def word_hash(self) -> np.ndarray:
-        return span_hash(self.buf, self.starts, self.ends)
+    def _words(self) -> tuple[pa.Array, np.ndarray]:
+        return intern(self.buf[~self._space], self.ends - self.starts)
+
+    @property
+    def vocabulary(self) -> pa.Array:
+        """The block's distinct words as bytes."""
+        return self._words[0]
+
+    @property
+    def word_ids(self) -> np.ndarray:
+        """Each word's place in the vocabulary: equal numbers mean equal words."""
+        return self._words[1]
+
+    @cached_property
+    def word_lanes(self) -> Lanes:
+        """The keyed 128-bit digest of each word as two arrays."""
+        high, low = digests(self.vocabulary.to_pylist())
+        return high[self.word_ids], low[self.word_ids]
 
     @cached_property
     def lead(self) -> np.ndarray:
@@ -158,24 +190,28 @@ class TextBlock:
         """Sum of a value per word over each document."""
         return segment_sum(word_values.astype(np.int64), self.word_offsets)
 
-    def windows(self, size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows of ``size`` words inside one document."""
-        hashes = window_hash(self.word_hash, size, base)
-        inside = self.doc_of_word[: len(hashes)] == self.doc_of_word[size - 1 :] if len(hashes) else np.empty(0, bool)
-        first = np.flatnonzero(inside)
-        return first, hashes[first]
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number) of the 3-word windows inside one document; equal numbers mean equal words."""
+        ids, size = self.word_ids, len(self.vocabulary)
+        if len(ids) < 3:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        first = np.flatnonzero(self.doc_of_word[:-2] == self.doc_of_word[2:])
+        pair = ids[first] * size + ids[first + 1]
+        if size >= 1 << 20:  # three numbers would not fit 63 bits
+            pair = np.unique(pair, return_inverse=True)[1]
+        return first, pair * size + ids[first + 2]
 
     @cached_property
-    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, end) of the \\n-split lines that hold a word."""
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, number) of the \\n-split lines that hold a word; equal numbers mean equal lines."""
         newline = np.flatnonzero(self.buf == 10)
-        starts = np.concatenate([self.offsets[:-1], newline + 1])
-        ends = np.concatenate([newline, self.offsets[1:]])
-        starts.sort()
-        ends.sort()
+        starts = np.sort(np.concatenate([self.offsets[:-1], newline + 1]), kind="stable")
+        ends = np.sort(np.concatenate([newline, self.offsets[1:]]), kind="stable")
         has_word = np.searchsorted(self.starts, ends) > np.searchsorted(self.starts, starts)
-        starts, ends = starts[has_word], ends[has_word]
-        return np.searchsorted(self.offsets, starts, side="right") - 1, starts, ends
+        ids = intern(self.buf[self.buf != 10], ends - starts)[1]
+        # a document's first line follows the borders of all empty documents before it
+        doc = np.searchsorted(self.offsets, starts[has_word], side="right") - 1
+        return doc, ids[has_word]
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

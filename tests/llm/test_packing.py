@@ -83,3 +83,10 @@ def test_short_items_and_small_groups(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     filled = check_pieces(packing.pack(docs, capacity=64, group_tokens=500), texts, 64)
     assert sum(n < 64 for n in filled.values()) <= 1
+
+
+def test_words_that_only_a_weak_hash_confuses(parity_pair):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(parity_pair)
+    ids, _ = packing.word_cached_tokeniser()()(TextBlock(pa.array([text], pa.string())))
+    assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids

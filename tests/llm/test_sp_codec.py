@@ -23,8 +23,8 @@ def texts(rng, n):
 
 def run(codec, part, **options):
     block = TextBlock(pa.array(part, pa.string()))
-    settings = {"seed": 1, "dropout": 0.0, "variants": 4} | options
-    ids, counts = codec.encode_block(block, np.arange(len(part), dtype=np.uint64), settings["seed"], settings["dropout"], settings["variants"])
+    settings = {"seed": 1, "dropout": 0.0} | options
+    ids, counts = codec.encode_block(block, np.arange(len(part), dtype=np.uint64), settings["seed"], settings["dropout"])
     ends = np.cumsum(counts)
     return [ids[b - c : b].tolist() for b, c in zip(ends, counts)]
 
@@ -89,3 +89,16 @@ def test_each_occurrence_draws_for_itself(codec):
     # "a" has one merge, with its mark
     ids, _ = codec.encode_block(TextBlock(pa.array([" ".join(["a"] * 5000)], pa.string())), doc_key, 7, 0.1)
     assert abs(np.mean(ids == codec.chars[sp_codec.MARK]) * len(ids) / 5000 - 0.1) < 0.015
+
+
+def test_words_that_only_a_weak_hash_confuses(codec, parity_pair):
+    part = [" ".join(parity_pair), " ".join(parity_pair * 4)]
+    for dropout in (0.0, 0.1, 0.5):
+        assert [codec.decode_bytes(np.array(ids, np.uint32)).decode() for ids in run(codec, part, dropout=dropout)] == part
+
+
+def test_a_normaliser_that_changes_texts_is_refused(codec):
+    with pytest.raises(ValueError):
+        codec._check_normaliser({2: b"map", 3: 1, 4: 0})
+    with pytest.raises(ValueError):
+        codec._check_normaliser({3: 1, 4: 1})

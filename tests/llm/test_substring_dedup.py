@@ -69,3 +69,33 @@ def test_edge_cases(edge_docs, empty_docs):
     assert sd.remove_repeats(empty_docs).count() == 0
     assert sd.clean_documents(edge_docs).columns == edge_docs.columns
     assert sd.clean_documents(edge_docs).count() == len(rows)
+
+
+def test_rows_of_one_id_are_judged_one_by_one(repeated_docs):
+    rows = [(r.doc_id, r.text) for r in repeated_docs.collect()]
+    with_id = [r for r in rows if r[0] is not None]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in sd.remove_repeats(repeated_docs).collect()]
+    assert len(got) == len(rows)
+    assert sorted(x for x in got if x[0] is not None) == sorted(brute(with_id, 50))
+    assert (5, 60, 60, "") in got and (5, 60, 0, rows[[t for _, t in rows].index(next(t for i, t in rows if i == 5 and t[0] == "b"))][1]) in got
+    cleaned = sd.clean_documents(repeated_docs)
+    assert cleaned.columns == repeated_docs.columns and cleaned.count() == len(rows)
+
+
+def test_words_that_only_a_weak_hash_confuses(spark, parity_pair):
+    rows = [(i, " ".join([w, *(f"x{j}" for j in range(49))])) for i, w in enumerate(parity_pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in sd.remove_repeats(docs).collect()} == {0}
+
+
+def test_levels_double_up_to_the_target():
+    assert sd.level_sizes(50) == [13, 25] and sd.level_sizes(200) == [13, 25, 50, 100] and sd.level_sizes(9) == [5] and sd.level_sizes(1) == [1]
+    assert all(b <= 2 * a for n in range(2, 300) for a, b in zip(sd.level_sizes(n), [*sd.level_sizes(n)[1:], n]))
+
+
+def test_many_levels(spark):
+    rng = random.Random(8)
+    rows = corpus(rng, 60, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in sd.remove_repeats(docs, min_words=120).collect())
+    assert got == sorted(brute(rows, 120))
