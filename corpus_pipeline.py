@@ -8,49 +8,52 @@ result has been written by then.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlattice.llm import exact_dedup, packing, quality_rules, simhash_trie, storage, substring_dedup
 
-_spent = {"from": None}
+#: Intermediates of the stage that this thread ran last.
+_spent: ContextVar[tuple[str, ...]] = ContextVar("intermediates of the stage before", default=())
 
 
-def _turn(spark: SparkSession, first: bool = False) -> None:
-    start = _spent["from"]
-    if start is not None and not first:
-        storage.release(spark, start)
-    _spent["from"] = storage.mark()
+def _staged(spark: SparkSession, work: Callable[[], DataFrame], first: bool = False) -> DataFrame:
+    """Run a stage's work; what the stage before it left goes, as its result has been written and read again."""
+    if not first:
+        for path in _spent.get():
+            storage.delete(spark, path)
+    with storage.collecting() as made:
+        result = work()
+    _spent.set(tuple(made))
+    return result
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    _turn(spark, first=True)
-    return quality_rules.filter_documents(docs)
+    return _staged(spark, lambda: quality_rules.filter_documents(docs), first=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, the one with the smallest id."""
-    _turn(spark)
-    return exact_dedup.deduplicate(docs)
+    return _staged(spark, lambda: exact_dedup.deduplicate(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates linked by fingerprint, the one with the smallest id."""
-    _turn(spark)
-    return simhash_trie.deduplicate(docs)
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
+    return _staged(spark, lambda: simhash_trie.deduplicate(docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that a document with a smaller id has."""
-    _turn(spark)
-    return substring_dedup.clean_documents(docs)
+    return _staged(spark, lambda: substring_dedup.clean_documents(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, placed in sequences."""
-    _turn(spark)
-    pieces = packing.pack(docs)
+    pieces = _staged(spark, lambda: packing.pack(docs))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "ids")
 
 
