@@ -27,7 +27,11 @@ TRADE = """tr AS (
 TV = """tv AS (
   SELECT 'C' || c_custkey AS id, 'Customer' AS account_type, c_acctbal AS balance, CAST(c_nationkey AS VARCHAR) AS bank_id FROM customer
   UNION ALL SELECT 'M' || s_suppkey, 'Merchant', s_acctbal, CAST(s_nationkey AS VARCHAR) FROM supplier)"""
-KEY = "sha256(concat_ws('|', src, dst, step, CAST(round(amount * 100) AS BIGINT), type, payment_currency, receiving_currency))"
+KEY = """sha256('{"amount":' || amount || ',"dst":"' || dst || '","payment_currency":"' || payment_currency || '","receiving_currency":"' || receiving_currency
+  || '","src":"' || src || '","step":' || step || ',"type":"' || type || '"}')"""
+#: The event rows with most receivers moved into the sender's eighth of the accounts.
+EVC = EV.replace("ev AS (", "ev_raw AS (", 1) + """, ev AS (SELECT * REPLACE (CASE WHEN event_id % 20 = 0 THEN dst ELSE
+  'A' || (CAST(floor(CAST(substr(dst, 2) AS BIGINT) / 8) AS BIGINT) * 8 + CAST(substr(src, 2) AS BIGINT) % 8) END AS dst) FROM ev_raw)"""
 MULT = "mult AS (SELECT src, dst, count(*) AS n FROM ev GROUP BY ALL)"
 TRI = """pairs AS (SELECT src, dst, count(*) AS n FROM {base} WHERE src <> dst GROUP BY ALL),
   tri AS (SELECT x.src AS a, y.src AS b, z.src AS c, (x.n * y.n * z.n)::BIGINT AS n FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON y.dst = z.src AND z.dst = x.src
@@ -171,7 +175,7 @@ def asof_ctes() -> str:
     cols = ", ".join([f"coalesce({s}.{c}, 0) AS {side}_{c}" for side, s in (("src", "s"), ("dst", "d")) for c in SNAP])
     return f"""{snapshot_ctes()},
   aj AS (SELECT e.*, {cols}, (s.id IS NOT NULL)::INT AS src_seen, (d.id IS NOT NULL)::INT AS dst_seen, coalesce(s.community_key = d.community_key, FALSE)::INT AS same_community,
-    (s.id IS NOT NULL)::INT + (d.id IS NOT NULL)::INT AS community_endpoints_seen
+    (s.id IS NOT NULL AND d.id IS NOT NULL)::INT AS community_endpoints_seen
   FROM (SELECT ev.*, ({AS_OF})::BIGINT AS snapshot_as_of FROM ev, cuts) e
   LEFT JOIN snap s ON s.as_of_step = e.snapshot_as_of AND s.id = e.src LEFT JOIN snap d ON d.as_of_step = e.snapshot_as_of AND d.id = e.dst)"""
 
@@ -192,6 +196,48 @@ FAN_W = (1, 6, 24, 72)
 
 def fanin_ctes() -> str:
     frames = ", ".join(f"w{h} AS (PARTITION BY dst ORDER BY step RANGE BETWEEN {h} PRECEDING AND 1 PRECEDING)" for h in FAN_W)
-    cols = ", ".join(f"count(*) OVER w{h} AS prior_count_{h}h, min({{'s': src, 'e': event_id}}) OVER w{h} AS lo{h}, max({{'s': src, 'e': event_id}}) OVER w{h} AS hi{h}" for h in FAN_W)
+    record = "{'s': src, 't': step, 'm': amount, 'e': event_id}"
+    cols = ", ".join(f"count(*) OVER w{h} AS prior_count_{h}h, min({record}) OVER w{h} AS lo{h}, max({record}) OVER w{h} AS hi{h}" for h in FAN_W)
     out = ", ".join(f"prior_count_{h}h, CASE WHEN lo{h}.s <> src THEN lo{h}.e WHEN hi{h}.s <> src THEN hi{h}.e END AS witness_{h}h" for h in FAN_W)
-    return f"fw AS (SELECT event_id, src, dst, step, amount, {cols} FROM ev WHERE type = 'CASH_OUT' WINDOW {frames}), fan AS (SELECT event_id, src, dst, step, amount, {out} FROM fw)"
+    return f"fw AS (SELECT event_id, src, dst, step, amount, {cols} FROM ev WHERE type = 'CASH_OUT' AND src <> dst WINDOW {frames}), fan AS (SELECT event_id, src, dst, step, amount, {out} FROM fw)"
+
+
+#: Training and validation ends of rule selection, and the rows judged there.
+SPLIT = "tc AS MATERIALIZED (SELECT quantile_disc(step, 0.6) AS t0, quantile_disc(step, 0.8) AS t1 FROM ev), va AS (SELECT event_id, isFraud FROM ev, tc WHERE step > t0 AND step <= t1), su AS (SELECT count(*) AS n, sum(isFraud) AS p FROM va)"
+
+
+def judged(keys: str, rows: str) -> str:
+    """Measures per rule of (keys, event_id, isFraud, hit) rows against the support ``su``."""
+    return f"""jr AS (SELECT {keys}, count(*) FILTER (hit AND isFraud = 1) AS tp, count(*) FILTER (hit AND isFraud = 0) AS fp FROM ({rows}) GROUP BY ALL)
+  SELECT {keys}, (tp + fp)::BIGINT AS alerts, n::BIGINT AS transactions, p::BIGINT AS positives, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / nullif(tp + fp, 0), 9) AS precision,
+    round(tp / nullif(p, 0), 9) AS recall, round(2 * tp / nullif(tp + fp + p, 0), 9) AS f1 FROM jr, su"""
+
+
+def witness_sql(family: str, hours: int, per: int, typed: bool = False) -> str:
+    """Latest past row of the family per event, by comparing all pairs."""
+    link = {"fanin": "p.dst = e.dst AND p.src <> e.src", "fanout": "p.src = e.src AND p.dst <> e.dst", "relay": "p.dst = e.src AND p.src <> e.dst"}[family]
+    if family == "relay" and typed:
+        link += " AND p.type = 'TRANSFER' AND e.type = 'CASH_OUT'"
+    return f"""SELECT '{family}' AS family, event_id, w.e AS witness_id, w.s AS witness_step FROM (SELECT e.event_id, max({{'s': p.step, 'e': p.event_id}}) AS w FROM el e JOIN el p
+      ON {link} AND p.payment_currency = e.payment_currency AND e.step - p.step BETWEEN 1 AND {hours * 3600 // per} GROUP BY e.event_id)"""
+
+
+def surfer_ctes(iterations: int, repair: bool = True) -> str:
+    """Unrolled random surfer from 1/n with jumps from accounts without payments."""
+    parts = [
+        "sv AS MATERIALIZED (SELECT id, id NOT IN (SELECT src FROM ev) AS dangling, count(*) OVER () AS n FROM (SELECT src AS id FROM ev UNION SELECT dst FROM ev))",
+        "sw AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, count(*) AS n FROM ev GROUP BY ALL))",
+        "s_0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS p FROM sv)",
+    ]
+    for k in range(iterations):
+        lost = f"(SELECT coalesce(sum(p), 0) FROM s_{k} JOIN sv USING (id) WHERE dangling)" if repair else "0"
+        parts.append(
+            f"s_{k + 1} AS MATERIALIZED (SELECT id, 0.15 / n + 0.85 * {lost} / n + 0.85 * coalesce(x, 0) AS p FROM sv LEFT JOIN (SELECT dst AS id, sum(p * w) AS x FROM s_{k} JOIN sw ON id = src GROUP BY 1) USING (id))"
+        )
+    return ", ".join(parts)
+
+
+BANK = "(SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS bank_id, c_name AS account, 'Corporation' AS account_type, c_nationkey AS nation FROM customer UNION ALL SELECT lpad(CAST(s_nationkey AS VARCHAR), 5, '0'), s_name, 'Partnership', s_nationkey FROM supplier)"
+IBV = f"ibv AS (SELECT CAST(nation AS VARCHAR) || '_' || account AS id, CAST(nation AS VARCHAR) AS bank_id, account_type, n_name AS bank_name, 0.0::DOUBLE AS balance FROM {BANK} JOIN nation ON nation = n_nationkey)"
+IBE = """ibe AS (SELECT c_nationkey || '_' || c_name AS src, s_nationkey || '_' || s_name AS dst, l_extendedprice AS amount, epoch(date_trunc('minute', o_orderdate))::BIGINT AS step, l_returnflag AS type,
+  CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END AS isFraud FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""

@@ -7,21 +7,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where it is not set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        app = spark.sparkContext.applicationId
-        _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="flowlattice-scratch-"))
-        configured = _fallback[app]
-    return configured.rstrip("/")
+    """This application's folder below ``spark.checkpoint.dir``, deleted when it ends.
+
+    Without that setting a local master gets a temporary folder; a cluster is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="flowlattice-scratch-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    folder = f"{root.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def cut_lineage(frame: DataFrame, label: str = "stage") -> DataFrame:
     """Write a frame once and read it back; survives lost executors."""
-    path = f"{scratch_dir(frame.sparkSession)}/scratch/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(frame.sparkSession)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -13,13 +13,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 
-def write_single_csv(frame: DataFrame, path: str | Path) -> int:
-    """Stream rows to a temporary file beside ``path``, then replace it; the old file stays on failure."""
+def write_single_csv(frame: DataFrame, path: str | Path, encoding: str = "utf-8") -> int:
+    """Stream rows to a temporary file beside ``path``, then replace it; the old file stays on failure.
+
+    ``utf-8-sig`` puts a byte order mark in front, as spreadsheets want.
+    """
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=target.parent, suffix=".part")
     try:
-        with os.fdopen(handle, "w", newline="", encoding="utf-8") as out:
+        with os.fdopen(handle, "w", newline="", encoding=encoding) as out:
             writer = csv.writer(out)
             writer.writerow(frame.columns)
             n = 0
@@ -35,6 +38,26 @@ def write_single_csv(frame: DataFrame, path: str | Path) -> int:
     return n
 
 
+def write_json_records(frame: DataFrame, path: str | Path) -> int:
+    """The rows as one JSON array of objects, nulls kept, written like :func:`write_single_csv`."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=target.parent, suffix=".part")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as out:
+            n = 0
+            out.write("[")
+            for row in frame.toLocalIterator():
+                out.write((",\n" if n else "\n") + json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False))
+                n += 1
+            out.write("\n]\n")
+        os.replace(name, target)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+    return n
+
+
 def fingerprint(path: str | Path) -> dict:
     """Size and SHA-256 of a file, or of all files of a folder by name."""
     root = Path(path)

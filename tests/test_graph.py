@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlattice.operators import asof, graph
+from flowlattice.sources.tables import TxGraph
 
 PAIRS = [("A1", "A2"), ("A1", "A2"), ("A2", "A3"), ("A3", "A1"), ("A3", "A3"), ("A4", "A1"), ("A5", "A6")]
 IDS = ["A1", "A2", "A3", "A4", "A5", "A6", "A9"]
@@ -108,3 +109,55 @@ def test_cutoffs_must_differ(spark):
     e = spark.createDataFrame([(5,)] * 10, "step long")
     with pytest.raises(ValueError):
         asof.cutoffs(e)
+
+
+def test_shared_first_labels_are_an_error(spark):
+    """C1 and M1 have one number; as strings they stay apart."""
+    e = spark.createDataFrame([("C1", "M2"), ("C2", "M1")], "src string, dst string")
+    v = e.selectExpr("src AS id").union(e.selectExpr("dst"))
+    with pytest.raises(ValueError):
+        graph.label_propagation(v, e)
+    got = {r.id: r.label for r in graph.label_propagation(v, e, iterations=3, seed=F.col("id")).collect()}
+    assert got["C1"] != got["M1"] and got["C2"] != got["M2"]
+    with pytest.raises(ValueError):
+        graph.label_propagation(v, e, iterations=0)
+
+
+def test_distribution_must_be_whole(spark):
+    table = spark.createDataFrame([("0", "1"), ("2", "3")], "degree string, account_count string")
+    assert [r.proportion for r in graph.valid_distribution(table, 4, 3).orderBy("degree").collect()] == [0.25, 0.75]
+    bad = [(table, 5, 3), (table, 4, 4), (table.unionAll(table), 8, 6), (table.withColumn("degree", F.lit("1.5")), 4, 3), (table.limit(0), 0, 0), (table.withColumn("account_count", F.lit("0")), 4, 3)]
+    for t, v, e in bad:
+        with pytest.raises(ValueError):
+            graph.valid_distribution(t, v, e)
+
+
+def test_random_surfer(spark):
+    v = spark.createDataFrame([(x,) for x in "abc"], "id string")
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c")], "src string, dst string")
+    for repair in (True, False):
+        rank = dict.fromkeys("abc", 1 / 3)
+        for _ in range(12):
+            lost = rank["c"] if repair else 0.0
+            base = 0.15 / 3 + 0.85 * lost / 3
+            rank = {"a": base, "b": base + 0.85 * rank["a"], "c": base + 0.85 * rank["b"]}
+        got = {r.id: r.probability for r in graph.pagerank_probability(v, e, 12, repair_dangling=repair).collect()}
+        assert got == pytest.approx(rank)
+        assert (abs(sum(got.values()) - 1) < 1e-9) == repair
+
+
+def test_community_tables_are_reconciled(spark):
+    v = spark.createDataFrame([("1", "b1", 1.0), ("2", "b1", 2.0), ("3", "b2", 3.0), ("4", "b3", 0.0)], "id string, bank_id string, balance double")
+    e = spark.createDataFrame([("1", "2", 5.0, "U", 0), ("1", "2", 6.0, "E", 1), ("2", "3", 7.0, "U", 0), ("3", "3", 1.0, "U", 0)], "src string, dst string, amount double, payment_currency string, isFraud int")
+    g = TxGraph(v, e)
+    labels = spark.createDataFrame([("1", 1), ("2", 1), ("3", 3), ("4", 4)], "id string, label long")
+    summary, amounts = graph.community_profile(labels, v, e), graph.community_amounts(labels, e)
+    graph.community_faults(g, labels, summary, amounts, graph.largest(summary, 50))
+    broken = [
+        (labels.where("id <> '4'"), summary, amounts), (labels.unionAll(labels.limit(1)), summary, amounts), (labels.withColumn("label", F.lit("x")), summary, amounts), (labels, summary.where("label <> 4"), amounts),
+        (labels, summary.withColumn("member_count", F.col("member_count") + 1), amounts), (labels, summary, amounts.where("payment_currency = 'U'")), (labels, summary, amounts.withColumn("total_tx_amount", F.col("total_tx_amount") + 0.01)),
+        (labels, summary.withColumn("avg_balance", F.lit(float("nan"))), amounts), (labels.withColumn("label", F.lit(1)), summary, amounts), (labels, summary.withColumn("total_tx_amount", F.lit(1.0)), amounts),
+    ]
+    for tables_ in broken:
+        with pytest.raises(ValueError):
+            graph.community_faults(g, *tables_)
