@@ -12,10 +12,18 @@ in the record with the smallest id; the others become revisit records.  The
 groups are found on digests, which are pre-aggregated, so a payload that a third
 of all records share costs one row per task.
 
-Archives are files in the shared folder, written by Spark's own committer and
-read back record by record.  Null payloads are empty payloads; null URLs are
-empty URLs.  Records without an id are never revisits.  Records that repeat an id and payload are all of the same type.
-An empty table gives no records.  Extra columns are not read.
+Archives are files in the shared folder, written by Spark's own committer.  Each
+record is a gzip member of its own (a record over 8 MiB, several), as WARC readers
+expect.  A segment, one ARC archive and its warcinfo record, is closed at
+``segment_bytes`` or ``segment_records``; a file holds ``segments_per_file`` of them,
+so neither a row nor a file grows with the input beyond the largest records.  The
+reader unpacks member by member and parses record by record.
+
+ARC lines must have a date.  Pages without one (no ``date_col``, or a null in it)
+get a synthetic date counted from their id.  Null payloads are empty payloads; null
+URLs are empty URLs.  Records without an id are never revisits.  Records that
+repeat an id and payload are all of the same type.  An empty table gives no
+records.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +50,8 @@ ARC_FIELDS = {
     b"2": [b"URL", b"IP-address", b"Archive-date", b"Content-type", b"Result-code", b"Checksum", b"Location", b"Offset", b"Filename", b"Archive-length"],
 }
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-SEPARATOR = "\r\n\r\n"
+SEPARATOR = b"\r\n\r\n"
+MEMBER_BYTES = 8 << 20
 
 
 class ArcError(ValueError):
@@ -177,21 +187,55 @@ def convert(arc: bytes, archive: str, refers_to: dict[str, str] | None = None, i
         yield WarcRecord(headers, block)
 
 
-def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """Records of an uncompressed WARC archive, delimited by their declared lengths."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split("\r\n")
+def members(record: bytes) -> Iterator[bytes]:
+    """The gzip members of a record: one, or several where it is longer than ``MEMBER_BYTES``."""
+    for at in range(0, max(1, len(record)), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        yield packer.compress(record[at : at + MEMBER_BYTES]) + packer.flush()
+
+
+def unpacked(data: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
+    """The text of gzip members that stand one after another, piece by piece."""
+    reader = zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        rest = bytes(data[at : at + step])
+        while rest:
+            yield reader.decompress(rest)
+            rest = b""
+            if reader.eof:
+                rest, reader = reader.unused_data, zlib.decompressobj(31)
+
+
+def read_warc(pieces: Iterator[bytes]) -> Iterator[WarcRecord]:
+    """Records of a WARC archive that comes in pieces, delimited by their declared lengths."""
+    held = bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        looked = 0
+        while (stop := held.find(SEPARATOR, looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not more():
+                if held:
+                    raise ValueError("a record's header is cut short")
+                return
+        first, *lines = held[:stop].decode().split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC version at byte {at}")
+            raise ValueError(f"no WARC version in {first[:40]!r}")
         headers = dict(line.split(": ", 1) for line in lines)
-        size = int(headers.pop("Content-Length"))
-        block = data[stop + 4 : stop + 4 + size]
-        if len(block) != size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
+        end = stop + 4 + int(headers.pop("Content-Length"))
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != SEPARATOR:
+            raise ValueError("a record's block is cut short")
+        block = bytes(held[stop + 4 : end])
+        del held[: end + 4]
         yield WarcRecord(headers, block)
-        at = stop + 8 + size
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -206,35 +250,51 @@ def _capture_date(i: int | None) -> str:
     return f"{2000 + day // 336 % 100:04d}{1 + day // 28 % 12:02d}{1 + day % 28:02d}{second // 3600:02d}{second // 60 % 60:02d}{second % 60:02d}"
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = 2000) -> str:
-    """Pages as legacy ARC segments, converted and written as gzipped WARC files; returns the folder."""
+def write_archives(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, min_bytes: int = 0,
+    segment_bytes: int = 16 << 20, segment_records: int = 500, segments_per_file: int = 16,
+) -> str:
+    """Pages as legacy ARC segments, converted and written as WARC files of gzip members; returns the folder.
+
+    ``date_col`` holds 14 digits.
+    """
     spark = pages.sparkSession
-    body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
+    body = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
+    date = F.lit(None).cast("string") if date_col is None else F.col(f"`{date_col}`").cast("string")
+    keyed = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"), date.alias("date"))
     keyed = keyed.withColumn("digest", F.sha2("body", 256)).withColumn("n_bytes", F.length("body"))
-    joined = keyed.join(revisits(keyed, min_bytes), ["page_id", "digest"], "left").select("page_id", "url", "body", "refers_to")
+    joined = keyed.join(revisits(keyed, min_bytes), ["page_id", "digest"], "left").select("page_id", "url", "body", "date", "refers_to")
+
+    def segment(number: int, rows: list[tuple]) -> bytes:
+        name = f"segment-{TaskContext.get().partitionId()}-{number}.arc"
+        contents, refers = [], {}
+        for i, _, payload, _, first in rows:
+            shown = "" if i is None else f"X-Record-Name: {i}\r\n"
+            contents.append(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{shown}\r\n".encode() + payload)
+            if first is not None:
+                refers[f"{i} {sha1_base32(payload)}"] = str(first)
+        lines = ((url, day or _capture_date(i), "text/html", content) for (i, url, _, day, _), content in zip(rows, contents, strict=True))
+        arc = write_arc(name, 1 + number % 2, lines)
+        return b"".join(m for w in convert(arc, name, refers) for m in members(w.to_bytes() + SEPARATOR))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = 0
+        number, held, size = 0, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, urls, bodies, first = (c.to_pylist() for c in part.columns)
-                name = f"segment-{segment}.arc"
-                contents = []
-                for i, payload in zip(ids, bodies, strict=True):
-                    shown = "" if i is None else f"X-Record-Name: {i}\r\n"
-                    contents.append(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{shown}\r\n".encode() + payload)
-                rows = ((u, _capture_date(i), "text/html", c) for i, u, c in zip(ids, urls, contents, strict=True))
-                arc = write_arc(name, 1 + segment % 2, rows)
-                refers = {f"{i} {sha1_base32(b)}": str(r) for i, b, r in zip(ids, bodies, first, strict=True) if r is not None}
-                yield pa.RecordBatch.from_pydict({"record": pa.array([w.to_bytes() for w in convert(arc, name, refers)], pa.binary())})
-                segment += 1
+            for row in zip(*batch.columns, strict=True):
+                held.append(tuple(v.as_py() for v in row))
+                size += len(held[-1][2])
+                if size >= segment_bytes or len(held) >= segment_records:
+                    yield pa.RecordBatch.from_pydict({"segment": pa.array([segment(number, held)], pa.binary())})
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment(number, held)], pa.binary())})
 
     folder = new_path(spark, "warc")
-    records = joined.mapInArrow(run, "record binary").selectExpr("CAST(record AS STRING) AS value")
+    # a member ends with its length, below 2**24, so its last byte is zero: the text sink writes it as line end
+    value = F.expr("CAST(substring(segment, 1, length(segment) - 1) AS STRING)").alias("value")
+    records = joined.mapInArrow(run, "segment binary").select(value)
     with shuffle_cleanup(spark):
-        (records.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder))
+        records.write.option("lineSep", "\0").option("maxRecordsPerFile", segments_per_file).text(folder)
     return folder
 
 
@@ -253,7 +313,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for record in read_warc(zlib.decompress(content.as_py(), 31)):
+                for record in read_warc(unpacked(memoryview(content.as_buffer()))):
                     kind = record.headers["WARC-Type"]
                     if kind not in ("response", "revisit"):
                         continue
@@ -263,6 +323,9 @@ def read_archives(spark, folder: str) -> DataFrame:
                     if kind == "response" and (sha1_base32(payload) != digest or len(payload) != size):
                         raise ValueError(f"record {record.headers['WARC-Record-ID']} does not match its digest")
                     name, other = http.get("x-record-name"), record.headers.get("X-Refers-To-Name")
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows = []
                     rows.append((name and int(name), size, digest, kind, other and int(other), record.headers["WARC-Target-URI"], record.headers["WARC-Date"], record.headers["WARC-Record-ID"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
