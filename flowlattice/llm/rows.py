@@ -47,6 +47,7 @@ def keep_least(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     stays = F.lit(False)
     dropped = classes.where(~least).select("doc_id", "row", stays.alias("stays")).distinct()
     kept = classes.where(least).groupBy("class", "doc_id", "row").agg(F.count("*").alias("n"))
+    kept = materialise(kept, "row-kept")
     several = kept.groupBy("class").agg(F.min("row").alias("least_row"), F.sum("n").alias("total")).where("total > 1").drop("total")
     repeated = kept.join(several, "class").select("doc_id", "row", (F.col("row") == F.col("least_row")).alias("stays"))
     marks = materialise(dropped.unionAll(repeated), "row-marks")

@@ -48,6 +48,9 @@ BUDGET = 2
 BLOCKS = 6
 SEED = 42
 _CHUNK = 1 << 16
+_PIECE = 255
+#: For each byte, its eight bits as the eight bytes of a 64-bit number.
+_SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64) & np.uint64(1)) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def shingles(block: TextBlock, words: int) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,18 +98,30 @@ def fingerprints_of(block: TextBlock, words: int = WORDS, seed: int = SEED) -> n
 
 
 def lanes_of(hashes: np.ndarray, doc: np.ndarray, n: int, lanes: int = 1) -> np.ndarray:
-    """64-bit SimHash per document and lane; lane 0 has the plain hashes, which are ordered by document."""
-    if not len(doc):
-        return np.zeros((n, lanes), np.uint64)
-    counts = np.zeros((lanes, n, BITS), np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = doc[at : at + _CHUNK]
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        for lane in range(lanes):
-            own = hashes[at : at + _CHUNK] if not lane else mix(hashes[at : at + _CHUNK] + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[lane, part[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    """64-bit SimHash per document and lane; lane 0 has the plain hashes, which are ordered by document.
+
+    Eight bits are counted at a time, a byte each of a 64-bit sum, over pieces of at
+    most 255 hashes of one document.
+    """
     total = np.bincount(doc, minlength=n)
+    present = np.flatnonzero(total)
+    pieces = -(-total[present] // _PIECE)
+    first = np.cumsum(pieces) - pieces
+    start = (np.cumsum(total) - total)[present]
+    cut = np.repeat(start, pieces) + (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) * _PIECE
+    ends = np.append(cut, len(hashes))
+    counts = np.zeros((lanes, n, BITS), np.int32)
+    parts = np.searchsorted(cut, np.arange(0, len(hashes), _CHUNK)).tolist()
+    for lane in range(lanes):
+        sums = []
+        for a, b in zip(parts, [*parts[1:], len(cut)], strict=True):
+            own = hashes[ends[a] : ends[b]]
+            own = mix(own + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if lane else own
+            if len(own):
+                spread = _SPREAD[own.astype("<u8").view(np.uint8).reshape(-1, 8)]
+                sums.append(np.add.reduceat(spread, cut[a:b] - cut[a], axis=0).astype("<u8").view(np.uint8).reshape(-1, BITS))
+        if sums:
+            counts[lane, present] = np.add.reduceat(np.concatenate(sums), first, axis=0, dtype=np.int32)
     packed = np.packbits(2 * counts > total[None, :, None], axis=2, bitorder="little").view("<u8")[:, :, 0]
     return packed.T.astype(np.uint64)
 
@@ -352,8 +367,13 @@ def recall(similarity: float, draws: int = 20_000, seed: int = 0) -> float:
     return float((near & seen).mean())
 
 
-def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+def canonical(pairs: DataFrame, label: str) -> DataFrame:
+    """Each unordered pair (u, v) once, written."""
+    return materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), label)
+
+
+def shingle_sets(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: int, seed: int) -> DataFrame:
+    """(node, shingles) of the nodes of pairs: the distinct shingle hashes of the row that stands for a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,12 +382,14 @@ def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: int, s
                 ends = np.append(0, np.cumsum(size)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"node": rows.column(1), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))})
 
-    pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
     nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    # one row of one document stands for a node
     asked = reps.join(nodes, "node", "left_semi").select("node", "doc_id", "row")
     found = source.join(asked, ["doc_id", "row"]).select("text", "node").mapInArrow(run, "node long, shingles array<long>")
-    sets = materialise(found.dropDuplicates(["node"]), "simhash-sets")
+    return materialise(found.dropDuplicates(["node"]), "simhash-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of at least ``similarity``."""
     common = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
@@ -500,18 +522,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     look = lanes[:LOOK_LANES]
     whole = [(1 << VIEW_BITS) - 1]
-    starred = dealt(reps.withColumn("part", F.lit(0).cast("long")), look, whole).mapInArrow(stars, "u long, v long")
-    made = materialise(verified(starred, reps, source, words, similarity, seed), "simhash-stars")
+    starred = canonical(dealt(reps.withColumn("part", F.lit(0).cast("long")), look, whole).mapInArrow(stars, "u long, v long"), "simhash-stars")
+    made = materialise(verified(starred, shingle_sets(starred, reps, source, words, seed), similarity), "simhash-starred")
     apart = materialise(with_parts(made), "simhash-parts")
     proposed = dealt(apart, look, masks).mapInArrow(nearest, "u long, v long, apart long")
     partner = materialise(proposed.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("x")).select("u", F.col("x.v").alias("v")), "simhash-nearest")
-    made = materialise(made.unionAll(verified(partner, reps, source, words, similarity, seed)), "simhash-near")
     # a node without a proposed partner in another part has none in the last round either
+    sets = shingle_sets(partner, reps, source, words, seed)
+    made = materialise(made.unionAll(verified(canonical(partner, "simhash-pairs"), sets, similarity)), "simhash-near")
     open_ = materialise(with_parts(made).join(partner.select(F.col("u").alias("node")), "node", "left_semi"), "simhash-open")
-    linked = verified(dealt(open_, lanes, masks).mapInArrow(every, "u long, v long"), reps, source, words, similarity, seed)
-    roots = connected_components(made.unionAll(linked))
+    last = canonical(dealt(open_, lanes, masks).mapInArrow(every, "u long, v long"), "simhash-last")
+    roots = connected_components(made.unionAll(verified(last, sets, similarity)))
     rooted = reps.join(roots, "node", "left").select("high", "low", "n", F.coalesce("root", "node").alias("class"), "doc_id")
-    ids = rooted.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # written first, so that the join may split a class that very many nodes are in
+    ids = materialise(rooted.groupBy("class").agg(F.min("doc_id").alias("component_id")), "simhash-classes")
     by_set = rooted.join(ids, "class").select("high", "low", "n", "class", "component_id")
     return marked.select("doc_id", "row", "high", "low", "n").join(by_set, ["high", "low", "n"], "left").select("doc_id", "row", "class", "component_id")
 

@@ -211,7 +211,9 @@ def marks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     counted = _unpack(reps, len(sizes), [0])
     for level in range(len(sizes)):
         later = [f"s{k}" for k in range(level + 1, len(sizes))]
-        left = seeds.join(_shared(counted, f"s{level}"), f"s{level}", "left_semi")
+        # written first, so that the join may split a seed that very many documents have
+        shared = materialise(_shared(counted, f"s{level}"), "substring-shared")
+        left = seeds.join(shared, f"s{level}", "left_semi")
         seeds = materialise(left.select("key", "doc_id", *(later or [f"s{level}"])).distinct(), f"substring-level{sizes[level]}")
         counted = seeds
         if seeds.isEmpty():

@@ -578,6 +578,13 @@ def time_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(asof.block_of(asof.cutoffs(e)).alias("block")).agg(F.count("*").alias("transactions"), F.sum("isFraud").alias("positives"), F.min("step").alias("min_step"), F.max("step").alias("max_step"))
 
 
+@query(f"""WITH {o.EV}, {o.CUTS} SELECT CASE WHEN step <= c1 THEN 'initial_train' WHEN step <= c2 THEN 'validation_1' WHEN step <= c3 THEN 'validation_2' WHEN step <= c4 THEN 'validation_3' ELSE 'test' END AS phase,
+  count(*) AS transactions, sum(isFraud)::BIGINT AS positives, min(step) AS first_step, max(step) AS last_step, round(avg(isFraud), 9) AS positive_rate FROM ev, cuts GROUP BY 1""")
+def phase_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_edges(spark, sf_dir)
+    return rounded(asof.phase_support(e, asof.cutoffs(e)[1:]), ["positive_rate"])
+
+
 _SNAP_OUT = "as_of_step, id, inDegree, outDegree, degree, round(pagerank, 6) AS pagerank, community_key, community_size, community_out_transactions, round(community_cross_fraction, 6) AS community_cross_fraction"
 
 

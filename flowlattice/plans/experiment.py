@@ -36,6 +36,12 @@ class Settings:
     typed_relay: bool = False
     families: tuple[str, ...] = tuple(models.FAMILIES)
 
+    def __post_init__(self) -> None:
+        if self.seconds_per_step <= 0 or 3600 % self.seconds_per_step:
+            raise ValueError("a step must divide an hour")
+        if not self.families or len(set(self.families)) != len(self.families) or set(self.families) - set(models.FAMILIES):
+            raise ValueError(f"families must be different names of {list(models.FAMILIES)}")
+
 
 class Experiment:
     """One run over the edges of a graph in a folder of its own.
@@ -86,7 +92,8 @@ class Experiment:
             self._write(rows.drop("isFraud"), "features")
             self._write(rows.select("event_id", "step", F.col("isFraud").cast("int").alias("isFraud")), "truth")
             cuts = asof.cutoffs(rows)
-            return {"transactions": rows.count(), "cuts": cuts}
+            support = asof.phase_support(self.table("truth"), cuts[1:]).collect()  # the first cutoff only bounds a snapshot
+            return {"transactions": rows.count(), "cuts": cuts, "support": {r["phase"]: [r["transactions"], r["positives"]] for r in support}}
 
         return self._phase("prepare", work)
 

@@ -45,6 +45,12 @@ def test_life_cycle(spark, tmp_path):
         again.verify()
 
 
+@pytest.mark.parametrize("bad", [{"seconds_per_step": 0}, {"seconds_per_step": 7}, {"families": ()}, {"families": ("no",)}, {"families": ("full_fusion", "full_fusion")}])
+def test_settings_are_checked(bad):
+    with pytest.raises(ValueError):
+        Settings(**bad)
+
+
 def test_bad_rows_stop_the_run(spark, tmp_path):
     bad = labelled_edges(spark, 20).withColumn("amount", F.when(F.col("step") == 3, -1.0).otherwise(F.col("amount")))
     run = Experiment(spark, bad, str(tmp_path / "t"), str(tmp_path / "n"), SETTINGS)
