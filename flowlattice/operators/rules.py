@@ -36,9 +36,9 @@ def _score(rows: DataFrame, keys: Sequence[str], support: DataFrame) -> DataFram
 
 def support_of(truth: DataFrame) -> DataFrame:
     """One row (n_all, p_all) of the rows judged; none at all is an error."""
-    found = truth.agg(F.count("*").alias("n_all"), F.coalesce(F.sum("isFraud"), F.lit(0)).cast("long").alias("p_all"))
-    empty = F.assert_true(F.col("n_all") > 0, F.lit("the split has no rows"))
-    return found.where(empty.isNull())
+    if truth.isEmpty():
+        raise ValueError("the split has no rows")
+    return truth.agg(F.count("*").alias("n_all"), F.coalesce(F.sum("isFraud"), F.lit(0)).cast("long").alias("p_all"))
 
 
 def fanin_floors(edges: DataFrame, train_end: int, cuts: Sequence[float] = FANIN_QUANTILES) -> dict[float, float]:
@@ -50,6 +50,11 @@ def fanin_floors(edges: DataFrame, train_end: int, cuts: Sequence[float] = FANIN
     return {0.0: 0.0, **dict(zip(cuts, map(float, found), strict=True))}
 
 
+def usable_priors(window: int) -> Column:
+    """Past payments of a window that count as fan-in: none unless one came from another sender; without a window any number."""
+    return F.when(F.col(f"witness_{window}h").isNotNull(), F.col(f"prior_count_{window}h")).otherwise(0) if window else F.lit(1 << 60)
+
+
 def fanin_grid(features: DataFrame, truth: DataFrame, floors: dict[float, float]) -> DataFrame:
     """(family, window, min_prior, quantile, floor, alerts, ...) over the rows of ``truth`` (event_id, isFraud).
 
@@ -60,9 +65,7 @@ def fanin_grid(features: DataFrame, truth: DataFrame, floors: dict[float, float]
     require_unlabelled(features.schema)
     ranked = sorted(floors.items())
     level = sum((F.when(F.col("amount") > f, 1).otherwise(0) for _, f in ranked), F.lit(0))
-    reached = [
-        F.when(F.col(f"witness_{h}h").isNotNull(), sum((F.when(F.col(f"prior_count_{h}h") >= k, 1).otherwise(0) for k in FANIN_PRIORS), F.lit(0))).otherwise(0).alias(f"c_{h}") for h in FANIN_WINDOWS
-    ]
+    reached = [sum((F.when(usable_priors(h) >= k, 1).otherwise(0) for k in FANIN_PRIORS), F.lit(0)).alias(f"c_{h}") for h in FANIN_WINDOWS]
     joined = features.join(truth.select("event_id", "isFraud"), "event_id")
     levels = [f"c_{h}" for h in FANIN_WINDOWS]
     histogram = joined.select("isFraud", level.alias("level"), *reached).groupBy("level", "isFraud", *levels).agg(F.count("*").alias("n"))
@@ -77,14 +80,12 @@ def fanin_grid(features: DataFrame, truth: DataFrame, floors: dict[float, float]
 
 
 def fanin_alerts(features: DataFrame, family: str, window: int, min_prior: int, floor: float) -> DataFrame:
-    """Event ids that one rule alerts, without labels; the family ``abstain`` alerts none."""
+    """Event ids that one rule alerts, without labels; amount-only rules have window 0, the family ``abstain`` alerts none."""
     require_unlabelled(features.schema)
-    if family == "abstain":
-        return features.where(F.lit(False)).select("event_id")
-    hit = F.col("amount") > floor
-    if family == "fanin":
-        hit &= F.col(f"witness_{window}h").isNotNull() & (F.col(f"prior_count_{window}h") >= min_prior)
-    return features.where(hit).select("event_id")
+    if family not in ("fanin", "amount_only", "abstain"):
+        raise ValueError(f"no rule family {family!r}")
+    wanted = F.lit(family != "abstain") & (usable_priors(window) >= min_prior)
+    return features.where(wanted & (F.col("amount") > floor)).select("event_id")
 
 
 def cycle_floors(edges: DataFrame, train_end: int, cuts: Sequence[float] = CYCLE_QUANTILES[1:]) -> DataFrame:
