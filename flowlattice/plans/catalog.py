@@ -511,17 +511,18 @@ _MOTIFS = {"fanin": "fanin_24h > 0", "fanout": "fanout_24h > 0", "relay": "relay
 
 
 @query(
-    f"WITH {o.EV}, {o.ELIG}, {o.motif_sql(W)}, t AS (SELECT mf.*, isFraud FROM mf JOIN ev USING (event_id)) "
+    f"WITH {o.EV}, {o.ELIG}, {o.CUTS}, {o.motif_sql(W)}, al AS (SELECT mf.*, isFraud, step FROM mf JOIN ev USING (event_id)), t AS (SELECT 'full' AS scope, * FROM al UNION ALL SELECT 'test', al.* FROM al, cuts WHERE step > c4) "
     + " UNION ALL ".join(
-        f"SELECT '{m}' AS motif, count(*) AS transactions, sum(isFraud)::BIGINT AS positives, count(*) FILTER ({c}) AS covered_transactions, count(*) FILTER ({c} AND isFraud = 1) AS covered_positives, "
+        f"SELECT scope, '{m}' AS motif, count(*) AS transactions, sum(isFraud)::BIGINT AS positives, count(*) FILTER ({c}) AS covered_transactions, count(*) FILTER ({c} AND isFraud = 1) AS covered_positives, "
         f"round(count(*) FILTER ({c} AND isFraud = 1) / nullif(sum(isFraud), 0), 9) AS positive_coverage, round(count(*) FILTER ({c} AND isFraud = 1) / nullif(count(*) FILTER ({c}), 0), 9) AS positive_fraction_when_present, "
-        f"round(sum(isFraud) / nullif(count(*), 0), 9) AS population_prevalence FROM t"
+        f"round(sum(isFraud) / nullif(count(*), 0), 9) AS population_prevalence FROM t GROUP BY scope"
         for m, c in _MOTIFS.items()
     )
 )
 def motif_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_edges(spark, sf_dir)
-    found = motifs.coverage(motifs.motif_features(e.drop("isFraud"), W, 1), e.select("event_id", "isFraud"), {m: F.expr(c) for m, c in _MOTIFS.items()})
+    scopes = {"full": F.lit(True), "test": F.col("step") > asof.cutoffs(e)[4]}
+    found = motifs.coverage(motifs.motif_features(e.drop("isFraud"), W, 1), e, {m: F.expr(c) for m, c in _MOTIFS.items()}, scopes)
     return rounded(found, ["positive_coverage", "positive_fraction_when_present", "population_prevalence"])
 
 
