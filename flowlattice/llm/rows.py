@@ -57,7 +57,7 @@ def keep_least(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     own = docs.withColumn(row_name, text_key(F.col(f"`{text_col}`")))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_mark)) & (F.col(row_name) == F.col(row_mark))
     columns = [F.col(f"`{c}`") for c in names]
-    if marks.where(stay_mark).isEmpty():  # no id stands on several rows of a class
+    if marks.where(stay_mark).limit(1).isEmpty():  # no id stands on several rows of a class
         return own.join(marks, same, "left_anti").select(*columns)
     marked = own.join(marks, same, "left")
     copies = marked.where(stay_mark).dropDuplicates([id_mark, row_mark])
