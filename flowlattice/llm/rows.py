@@ -42,7 +42,7 @@ def keep_least(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     rows of the class, the one with the smallest text key stays; of whole copies any
     one.  Rows without a class stay.
     """
-    classes = classes.where("class IS NOT NULL")
+    classes = materialise(classes.where("class IS NOT NULL").select("doc_id", "row", "class", "keep_id"), "row-classes")
     least = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     stays = F.lit(False)
     dropped = classes.where(~least).select("doc_id", "row", stays.alias("stays")).distinct()
@@ -50,7 +50,7 @@ def keep_least(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     kept = materialise(kept, "row-kept")
     several = kept.groupBy("class").agg(F.min("row").alias("least_row"), F.sum("n").alias("total")).where("total > 1").drop("total")
     repeated = kept.join(several, "class").select("doc_id", "row", (F.col("row") == F.col("least_row")).alias("stays"))
-    marks = materialise(dropped.unionAll(repeated), "row-marks")
+    marks = materialise(dropped.unionAll(repeated), "row-marks").hint("merge")  # one plan at every size
     names = docs.columns
     row_name, id_mark, row_mark, stay_mark = (fresh(n, names) for n in ("row", "doc_id_mark", "row_mark", "stays_mark"))
     marks = marks.select(F.col("doc_id").alias(id_mark), F.col("row").alias(row_mark), F.col("stays").alias(stay_mark))

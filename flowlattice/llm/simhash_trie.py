@@ -384,7 +384,7 @@ def shingle_sets(pairs: DataFrame, reps: DataFrame, source: DataFrame, words: in
 
     nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
     asked = reps.join(nodes, "node", "left_semi").select("node", "doc_id", "row")
-    found = source.join(asked, ["doc_id", "row"]).select("text", "node").mapInArrow(run, "node long, shingles array<long>")
+    found = source.join(asked.hint("merge"), ["doc_id", "row"]).select("text", "node").mapInArrow(run, "node long, shingles array<long>")
     return materialise(found.dropDuplicates(["node"]), "simhash-sets")
 
 

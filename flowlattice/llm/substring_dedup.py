@@ -230,7 +230,7 @@ def marks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"high": pa.array(high[s].view(np.int64)), "low": pa.array(low[s].view(np.int64)), "doc_id": ids[s]})
 
     asked = reps.select("key", "doc_id", "row").join(alive, "key").drop("key")
-    windows = docs.join(asked, ["doc_id", "row"]).select("doc_id", "text", "alive").mapInArrow(extend, "high long, low long, doc_id long")
+    windows = docs.join(asked.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "alive").mapInArrow(extend, "high long, low long, doc_id long")
     owners = windows.groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"))
     owned = materialise(owners.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("high", "low"))).alias("owned")), "substring-owned")
     found = rows.where("doc_id = least_id").join(alive, "key").join(owned, "doc_id", "left").select("doc_id", "row", "alive", "owned", F.lit(False).alias("whole"))
@@ -272,7 +272,7 @@ def _cut(block: TextBlock, gone: np.ndarray, keep_layout: bool) -> list[bytes]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the kept words of every row joined by one space."""
     source = row_keys.keyed(docs, id_col, text_col)
-    found = marks(source, min_words)
+    found = marks(source, min_words).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,5 +319,5 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = docs.withColumn(own_row, row_keys.text_key(F.col(f"`{text_col}`")))
     same = (F.col(f"`{id_col}`").cast("long") == F.col(hidden[0])) & (F.col(own_row) == F.col(hidden[1]))
-    joined = own.join(found.toDF(*hidden), same, "left").select(*[F.col(f"`{c}`") for c in names], *hidden[2:])
+    joined = own.join(found.toDF(*hidden).hint("merge"), same, "left").select(*[F.col(f"`{c}`") for c in names], *hidden[2:])
     return joined.mapInArrow(run, docs.schema)
