@@ -94,13 +94,13 @@ def sketch(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
                 first = target_windows(block, min_words)
-                lanes = window_lanes(block.word_lanes, sizes)
-                chosen = [seeds_of(high, first, size, min_words) for (high, _), size in zip(lanes, sizes, strict=True)]
+                lanes = window_lanes(block.word_lanes[:1], sizes)
+                chosen = [seeds_of(high, first, size, min_words) for (high,), size in zip(lanes, sizes, strict=True)]
                 doc = block.doc_of_word[first]
                 turn = np.ones(len(first), bool)
                 if len(first):
                     turn[1:] = np.any([c[1:] != c[:-1] for c in [doc, *chosen]], axis=0)
-                runs = np.stack([high[c[turn]] for (high, _), c in zip(lanes, chosen, strict=True)], axis=1)
+                runs = np.stack([high[c[turn]] for (high,), c in zip(lanes, chosen, strict=True)], axis=1)
                 cut = np.searchsorted(doc[turn], np.arange(block.n + 1))
                 packed = runs.astype("<u8").tobytes()
                 width = 8 * len(sizes)
@@ -179,13 +179,20 @@ def _owned(doc: np.ndarray, lanes: Lanes, owned: pa.Array, n: int) -> np.ndarray
 
 def removed_words(block: TextBlock, alive: pa.Array, owned: pa.Array, whole: pa.Array, min_words: int) -> np.ndarray:
     """Mask of the words to remove: those under windows that survive and are not owned, and all of whole copies."""
-    first, lanes = _survivors(block, alive, min_words)
-    gone = first[~_owned(block.doc_of_word[first], lanes, owned, block.n)]
-    change = np.zeros(len(block.starts) + 1, np.int64)
-    np.add.at(change, gone, 1)
-    np.add.at(change, gone + min_words, -1)
     entire = pc.fill_null(whole, False).to_numpy(zero_copy_only=False).astype(bool)
-    return (np.cumsum(change[:-1]) > 0) | entire[block.doc_of_word]
+    gone = entire[block.doc_of_word]
+    some = np.flatnonzero(pc.fill_null(pc.list_value_length(alive), 0).to_numpy(zero_copy_only=False))
+    if not len(some):
+        return gone
+    at = pa.array(some)
+    part = TextBlock(block.texts.take(at))  # only documents with live seeds are looked at again
+    first, lanes = _survivors(part, alive.take(at), min_words)
+    drop = first[~_owned(part.doc_of_word[first], lanes, owned.take(at), part.n)]
+    change = np.zeros(len(part.starts) + 1, np.int64)
+    np.add.at(change, drop, 1)
+    np.add.at(change, drop + min_words, -1)
+    gone[ranges(block.word_offsets[some], part.n_words)] |= np.cumsum(change[:-1]) > 0
+    return gone
 
 
 def _shared(seeds: DataFrame, name: str) -> DataFrame:

@@ -77,32 +77,30 @@ def digests(values: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
-Lanes = tuple[np.ndarray, np.ndarray]
+#: One or two 64-bit hashes of each window.
+Lanes = tuple[np.ndarray, ...]
 
 
 def joined(left: Lanes, right: Lanes) -> Lanes:
     """Hashes of two neighbouring (or overlapping) windows taken together, lane by lane."""
-    high, low = (mix(mix(a ^ _LEFT[i]) + b * _RIGHT[i]) for i, (a, b) in enumerate(zip(left, right, strict=True)))
-    return high, low
+    return tuple(mix(mix(a ^ _LEFT[i]) + b * _RIGHT[i]) for i, (a, b) in enumerate(zip(left, right, strict=True)))
 
 
 def window_lanes(word_lanes: Lanes, sizes: Sequence[int]) -> list[Lanes]:
-    """For each size (ascending), the 128-bit hash of every run of so many words (across documents too).
+    """For each size (ascending), the hash of every run of so many words (across documents too), 64 bits a lane.
 
     A window of 2n words is two windows of n; other sizes are two that overlap.
     """
+
+    def shifted(lanes: Lanes, by: int) -> Lanes:
+        n = max(0, len(lanes[0]) - by)
+        return joined(tuple(x[:n] for x in lanes), tuple(x[len(x) - n :] for x in lanes))
+
     out, whole, width = [], word_lanes, 1
     for size in sizes:
         while 2 * width <= size:
-            whole = joined((whole[0][:-width], whole[1][:-width]), (whole[0][width:], whole[1][width:])) if len(whole[0]) > width else (whole[0][:0], whole[1][:0])
-            width *= 2
-        rest = size - width
-        if not rest:
-            out.append(whole)
-        elif len(whole[0]) > rest:
-            out.append(joined((whole[0][:-rest], whole[1][:-rest]), (whole[0][rest:], whole[1][rest:])))
-        else:
-            out.append((whole[0][:0], whole[1][:0]))
+            whole, width = shifted(whole, width), 2 * width
+        out.append(shifted(whole, size - width) if size > width else whole)
     return out
 
 
