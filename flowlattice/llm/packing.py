@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.llm.textkernel import TextBlock, blocks, intern, ranges
+from flowlattice.llm.workers import kept
 
 CAPACITY = 2048
 GROUP_TOKENS = 4 << 20
@@ -162,7 +163,7 @@ def runs_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 Tokenise = Callable[[TextBlock], tuple[np.ndarray, np.ndarray]]
 
 
-def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.json", cache_words: int = 400_000) -> Callable[[], Tokenise]:
+def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.json", cache_words: int = 200_000) -> Callable[[], Tokenise]:
     """Tokeniser that encodes each distinct word, without its closing punctuation, once.
 
     The file's normaliser and splitter never look across a space, tab, line feed
@@ -180,8 +181,8 @@ def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.jso
             import public_tokenizers
 
             where = public_tokenizers.path(name)
-        encoder = Tokenizer.from_file(where)
-        known: dict[bytes, list[int]] = {}  # ids of each run met lately
+        encoder = kept("tokenizer", where, lambda: Tokenizer.from_file(where))
+        known: dict[bytes, list[int]] = kept("runs", where, dict)  # ids of each run met lately
 
         def encode(words: list[bytes]) -> list[list[int]]:
             return [e.ids for e in encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowlattice.llm.textkernel import TextBlock, intern, mix, ranges, text_blocks
+from flowlattice.llm.workers import kept
 
 MARK = 0x2581
 _LITERAL = 0x110000
@@ -337,8 +338,13 @@ def model_path(path: str | None) -> str:
 
 def _loader(path: str | None) -> Callable[[], Codec]:
     def load() -> Codec:
-        with open(model_path(path), "rb") as f:
-            return Codec(f.read())
+        where = model_path(path)
+
+        def read() -> Codec:
+            with open(where, "rb") as f:
+                return Codec(f.read())
+
+        return kept("codec", where, read)
 
     return load
 
