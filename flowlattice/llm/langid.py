@@ -19,9 +19,10 @@ rows are scored each; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm.rows import drawn, one_per_id
 from flowlattice.llm.textkernel import TextBlock, text_blocks
+from flowlattice.llm.workers import kept
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 _LETTERS = regex.compile(r"\p{L}+")
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def letter_runs(word: str) -> list[str]:
@@ -58,6 +60,7 @@ class Model:
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells fitted models apart
 
     def run_score(self, run: str) -> np.ndarray | None:
         """Score of a run of letters, None if nothing of it is known."""
@@ -93,7 +96,7 @@ def train(docs: DataFrame, lang_col: str = "lang", docs_per_language: int = 1500
     chosen = one_per_id(drawn(labelled, docs_per_language, seed, ["lang"]), ["lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):  # bounds the counters
             words: Counter = Counter()
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 for word, n in Counter((text or "").split()).items():
@@ -165,7 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = kept("langid", model.token, lambda: Scorer(model))
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             for rows, block in text_blocks(batch, "text"):
