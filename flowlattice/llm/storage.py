@@ -48,15 +48,11 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(hadoop)
 
 
-def new_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
-    """A fresh path in the shared folder; unless it is to last, it goes when the application ends."""
-    root = f"{shared_dir(spark)}/flowlattice"
-    name = f"{label}-{uuid.uuid4().hex}"
-    if lasting:
-        return f"{root}/{name}"
-    session = f"{root}/{spark.sparkContext.applicationId}"
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted when the application ends."""
+    session = f"{shared_dir(spark)}/flowlattice/{spark.sparkContext.applicationId}"
     _delete_on_exit(spark, session)
-    path = f"{session}/{name}"
+    path = f"{session}/{label}-{uuid.uuid4().hex}"
     held = _collector.get()
     if held is not None:
         held.append(path)
