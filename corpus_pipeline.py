@@ -64,10 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the ``documents`` of ``sf_dir``, each written and read again.
+
+    A stage's input goes when its result has been written, the last result when the
+    application ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = storage.new_path(spark, f"pipeline-{name}", lasting=True)
+        path = storage.new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            storage.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
