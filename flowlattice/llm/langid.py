@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlattice.llm.rows import drawn, one_per_id
+from flowlattice.llm.storage import small_batches
 from flowlattice.llm.textkernel import TextBlock, text_blocks
 from flowlattice.llm.workers import kept
 
@@ -181,4 +182,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.where(known, p.max(axis=1) / p.sum(axis=1), 0.0) if n else np.zeros(block.n)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

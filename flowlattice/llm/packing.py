@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.llm.storage import small_batches
 from flowlattice.llm.textkernel import TextBlock, blocks, intern, ranges
 from flowlattice.llm.workers import kept
 
@@ -271,7 +272,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             place(window)
         yield from flush()
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, PIECES_SQL)
+    return small_batches(docs).selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, PIECES_SQL)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm.quality_rules import n_alpha_words, n_dup_lines, n_lines, n_repeat_words, n_shouted_words, n_symbols, word_chars
 from flowlattice.llm.rows import drawn, one_per_id
+from flowlattice.llm.storage import small_batches
 from flowlattice.llm.textkernel import TextBlock, mix, text_blocks
 
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
@@ -251,4 +252,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for rows, block in text_blocks(batch, "text"):
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "score": pa.array(model.scores(block).astype(np.float64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlattice.llm.storage import small_batches
 from flowlattice.llm.textkernel import TextBlock, text_blocks
 
 SYMBOLS = b"#*$%&|<>"
@@ -263,7 +264,7 @@ def _judge(docs: DataFrame, rules: Sequence[Rule] | None, id_col: str, text_col:
 
     stats = "n_words long, " + "".join(f"{k} long, " for k in STATS) if with_stats else ""
     schema = f"doc_id long, {stats}kept boolean" + (", rejected_by string" if reasons else "")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text") -> DataFrame:
@@ -277,4 +278,4 @@ def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, text_
             for rows, block in text_blocks(named, str(at)):
                 yield rows.filter(pa.array(run_cascade(block, ordered))).rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

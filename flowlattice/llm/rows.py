@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.storage import materialise
+from flowlattice.llm.storage import materialise, small_batches
 
 
 def fresh(name: str, taken: Sequence[str]) -> str:
@@ -31,7 +31,7 @@ def text_key(text: Column) -> Column:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row, text): the columns that the operators read."""
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
 
 
 def keep_least(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm import rows as row_keys
 from flowlattice.llm.components import connected_components
-from flowlattice.llm.storage import materialise
+from flowlattice.llm.storage import materialise, small_batches
 from flowlattice.llm.textkernel import TextBlock, digests, mix, ranges, text_blocks
 
 BITS = 64
@@ -135,7 +135,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = fingerprints_of(block, words, seed)[:, 0].view(np.int64)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "fp": pa.array(fp)})
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(bits: int = BITS, n_blocks: int = BLOCKS, budget: int = BUDGET) -> list[int]:

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from flowlattice.llm.storage import small_batches
 from flowlattice.llm.textkernel import TextBlock, intern, mix, ranges, text_blocks
 from flowlattice.llm.workers import kept
 
@@ -367,7 +368,7 @@ def _text(codec: Codec, packed: bytes | None) -> str | None:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
+    return small_batches(docs).selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, path: str | None = None) -> DataFrame:

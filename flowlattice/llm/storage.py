@@ -5,6 +5,9 @@ lineage, survive lost executors and are visible to every executor.  A folder of
 our own is made only by a local master without that setting (tests); a cluster
 without it is an error.
 
+Texts travel to Python in batches of :data:`BATCH_ROWS` rows: two tasks that hold
+10,000 whole texts each, on both sides, would not leave an executor of 3 GB room.
+
 Every intermediate is deleted when the application ends.  A caller who knows
 when a result has been written can collect the paths made for it with
 :func:`collecting` and delete them earlier.
@@ -36,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Rows of an Arrow batch where rows hold whole texts; Spark's default suits narrow rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself; batches between the JVM and Python become small unless the session sets their size itself."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":  # the default
+        conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def _path(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlattice.llm.storage import new_path, shuffle_cleanup
+from flowlattice.llm.storage import new_path, shuffle_cleanup, small_batches
 
 #: Field lists of the two ARC versions (fixed values of the format).
 ARC_FIELDS = {
@@ -261,7 +261,7 @@ def write_archives(
     spark = pages.sparkSession
     body = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     date = F.lit(None).cast("string") if date_col is None else F.col(f"`{date_col}`").cast("string")
-    keyed = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"), date.alias("date"))
+    keyed = small_batches(pages).select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"), date.alias("date"))
     keyed = keyed.withColumn("digest", F.sha2("body", 256)).withColumn("n_bytes", F.length("body"))
     joined = keyed.join(revisits(keyed, min_bytes), ["page_id", "digest"], "left").select("page_id", "url", "body", "date", "refers_to")
 
