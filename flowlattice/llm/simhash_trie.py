@@ -156,7 +156,7 @@ def free_bits(values: np.ndarray, mask: int, n_bits: int = BITS) -> tuple[np.nda
     return out, depth
 
 
-def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: int, limit: int = 1 << 18, within_leaf: bool = True, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: int, limit: int = 1 << 16, within_leaf: bool = True, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of entries in one bucket whose suffixes differ in at most ``budget`` bits.
 
     Entries are sorted by (bucket, suffix), so a trie node is a range; a node's
@@ -222,7 +222,7 @@ def trie_self_join(bucket: np.ndarray, suffix: np.ndarray, depth: int, budget: i
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*child, strict=True))))
 
 
-def pairs_between_groups(bucket: np.ndarray, suffix: np.ndarray, group: np.ndarray, depth: int, budget: int, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_between_groups(bucket: np.ndarray, suffix: np.ndarray, group: np.ndarray, depth: int, budget: int, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs of one bucket, at most ``budget`` bits apart, whose groups differ.
 
     Entries are sorted by (bucket, suffix, group).  Those equal in all three are
