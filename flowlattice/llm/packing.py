@@ -20,6 +20,8 @@ read.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -37,6 +39,7 @@ from flowlattice.llm.workers import kept
 CAPACITY = 2048
 GROUP_TOKENS = 4 << 20
 END_ID = 1
+BLOCK_BYTES = 4 << 20
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -164,6 +167,96 @@ def runs_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 Tokenise = Callable[[TextBlock], tuple[np.ndarray, np.ndarray]]
 
 
+#: Lower-case Latin letters, each one letter under NFC; such a run is one word for the file's splitter.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_JOINED = 500  # runs in one text
+
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def joined_encoder(encoder) -> Callable[[list[bytes]], Encoded]:
+    """(ids, where each run's begin, how many); runs of letters are encoded many in one text.
+
+    A model with an end-of-word suffix ends each word in the one token that bears it,
+    so the ids of words with spaces between them fall apart after those tokens.  If
+    their number is not that of the words, each is encoded by itself.
+    """
+    suffix = json.loads(encoder.to_str())["model"].get("end_of_word_suffix")
+    vocabulary = encoder.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    if suffix:
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encode(runs: list[bytes]) -> Encoded:
+        letters = [i for i, match in enumerate(map(_LETTERS, runs)) if match] if suffix else []
+        chunks = [letters[a : a + _JOINED] for a in range(0, len(letters), _JOINED)]
+        texts = [b" ".join([runs[i] for i in chunk]).decode() for chunk in chunks]
+        parts, sizes, order = [], [], []
+        for chunk, e in zip(chunks, encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(chunk) and ends[-1] == len(ids):
+                parts.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+                order.extend(chunk)
+        alone = np.ones(len(runs), bool)
+        alone[order] = False
+        rest = np.flatnonzero(alone).tolist()
+        each = [e.ids for e in encoder.encode_batch_fast([runs[i].decode() for i in rest], add_special_tokens=False)]
+        parts.append(np.fromiter(chain.from_iterable(each), np.uint32))
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        size, begin = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+        own = np.concatenate(sizes)
+        size[order + rest] = own
+        begin[order + rest] = np.cumsum(own) - own
+        return np.concatenate(parts), begin, size
+
+    return encode
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class RunIds:
+    """Ids of the runs met lately; past ``limit`` runs, those met in the fewest blocks go."""
+
+    def __init__(self, encode: Callable[[list[bytes]], Encoded], limit: int):
+        self.encode, self.limit = encode, limit
+        self.numbers = _Numbers()
+        self.ids = np.empty(0, np.uint32)
+        self.begin, self.size, self.met = (np.empty(0, np.int64) for _ in range(3))
+
+    def find(self, runs: list[bytes]) -> np.ndarray:
+        """The number of each of a block's distinct runs, for ``begin`` and ``size``; numbers hold until the next call."""
+        if len(self.numbers) > self.limit:
+            self._forget()
+        before = len(self.numbers)
+        found = np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs))
+        fresh = np.flatnonzero(found >= before)  # distinct, so they stand in the order of their numbers
+        if len(fresh):
+            ids, begin, size = self.encode([runs[i] for i in fresh.tolist()])
+            self.begin = np.concatenate([self.begin, begin + len(self.ids)])
+            self.size = np.concatenate([self.size, size])
+            self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
+            self.ids = np.concatenate([self.ids, ids])
+        self.met[found] += 1
+        return found
+
+    def _forget(self) -> None:
+        stay = np.sort(np.argsort(-self.met, kind="stable")[: self.limit // 2])
+        stay = stay[self.met[stay] > 1]
+        runs = list(self.numbers)
+        self.numbers = _Numbers((runs[old], new) for new, old in enumerate(stay.tolist()))
+        self.ids = self.ids[ranges(self.begin[stay], self.size[stay])]
+        self.size, self.met = self.size[stay], self.met[stay] // 2
+        self.begin = np.cumsum(self.size) - self.size
+
+
 def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.json", cache_words: int = 200_000) -> Callable[[], Tokenise]:
     """Tokeniser that encodes each distinct word, without its closing punctuation, once.
 
@@ -182,28 +275,14 @@ def word_cached_tokeniser(path: str | None = None, name: str = "word_bpe_49k.jso
             import public_tokenizers
 
             where = public_tokenizers.path(name)
-        encoder = kept("tokenizer", where, lambda: Tokenizer.from_file(where))
-        known: dict[bytes, list[int]] = kept("runs", where, dict)  # ids of each run met lately
-
-        def encode(words: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        known = kept("runs", (where, cache_words), lambda: RunIds(joined_encoder(Tokenizer.from_file(where)), cache_words))
 
         def run(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
             data, lengths, per_word = runs_of(block)
             distinct, inverse = intern(data, lengths)
-            words = distinct.to_pylist()
-            own = [known.get(w) for w in words]
-            fresh = [i for i, ids in enumerate(own) if ids is None]
-            for i, ids in zip(fresh, encode([words[i] for i in fresh]), strict=True):
-                own[i] = ids
-            if len(known) + len(fresh) > cache_words:
-                known.clear()
-            known.update((words[i], own[i]) for i in fresh)
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum()))
-            begin = np.cumsum(sizes) - sizes
-            per_run = sizes[inverse]
-            ids = flat[ranges(begin[inverse], per_run)]
+            number = known.find(distinct.to_pylist())[inverse]
+            per_run = known.size[number]
+            ids = known.ids[ranges(known.begin[number], per_run)]
             upto = np.concatenate([[0], np.cumsum(per_run)])
             runs = np.concatenate([[0], np.cumsum(per_word)])[block.word_offsets]
             return ids, np.diff(upto[runs])
@@ -249,7 +328,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK_BYTES):
                 ids, counts = tokenise(TextBlock(batch.column(1).slice(a, b - a)))
                 ends = np.cumsum(counts)
                 for doc_id, lo, hi in zip(names[a:b], (ends - counts).tolist(), ends.tolist(), strict=True):

@@ -44,6 +44,34 @@ def test_word_cache_equals_whole_text():
             assert ids[lo:hi].tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_joined_runs_have_the_ids_of_each():
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    letters = "aeinrstoplzqx" + "".join(chr(c) for c in range(0xDF, 0x100))  # holds a division sign, which is no letter
+    runs = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)] + ["12a", "'s", "e\u0301", "\u0301", "\u03c3", "...", "don't", "<|endoftext|>"]
+    ids, begin, size = packing.joined_encoder(whole)([r.encode() for r in runs])
+    for r, a, n in zip(runs, begin, size, strict=True):
+        assert ids[a : a + n].tolist() == whole.encode(r, add_special_tokens=False).ids, r
+    assert [len(x) for x in packing.joined_encoder(whole)([])] == [0, 0, 0]
+
+
+def test_frequent_runs_outlive_rare_ones():
+    asked = []
+
+    def encode(runs):
+        asked.extend(runs)
+        size = np.array([len(r) for r in runs], np.int64)
+        return np.frombuffer(b"".join(runs), np.uint8).astype(np.uint32), np.cumsum(size) - size, size
+
+    known = packing.RunIds(encode, 20)
+    for block in range(50):
+        runs = [b"often", b"too"] + [f"rare{block}x{i}".encode() for i in range(7)]
+        for r, number in zip(runs, known.find(runs), strict=True):
+            assert bytes(known.ids[known.begin[number] :][: known.size[number]].astype(np.uint8)) == r
+        assert len(known.numbers) <= 20 + 9
+    assert asked.count(b"often") == asked.count(b"too") == 1 and len(asked) == 2 + 350
+
+
 def check_pieces(pieces, texts, capacity):
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [r.asDict() for r in pieces.collect()]
